@@ -72,17 +72,11 @@ def _passes(qs: Sequence[Query]) -> list[Sequence[Query]]:
     return [qs[i:i + QUERIES_PER_PASS] for i in range(0, len(qs), QUERIES_PER_PASS)]
 
 
-def _explode_hits(df: DataFrame, keys: Sequence[str], hits: Sequence[Column]) -> DataFrame:
-    """Rows of the non-null hit structs of each row."""
-    return (df.select(*keys, F.explode(F.array_compact(F.array(*hits))).alias("_h"))
-            .select(*keys, "_h.*"))
-
-
-def _hit(q: Query, match_type: str, box: Column, snippet: Column) -> Column:
-    return F.struct(
-        F.lit(q.query_id).alias("query_id"), *[box[c].alias(c) for c in BOX_COLS],
-        F.substring(snippet, F.lit(1), F.lit(200)).alias("snippet"), F.lit("ocr").alias("source"),
-        F.lit(match_type).alias("match_type"))
+def _explode(df: DataFrame, keys: Sequence[str], found: Sequence[Column], alias: str = "_h") -> DataFrame:
+    """One row per non-null struct of ``found``. Only light structs are exploded; boxes and snippets are
+    computed afterwards, on rows that are hits."""
+    return (df.select(*keys, F.explode(F.array_compact(F.array(*found))).alias(alias))
+            .select(*keys, f"{alias}.*"))
 
 
 def _stripped(blocks: DataFrame) -> DataFrame:
@@ -91,57 +85,68 @@ def _stripped(blocks: DataFrame) -> DataFrame:
             .filter(F.col("t") != ""))
 
 
+SPAN = "struct<query_id:int,match_type:string,c0:int,c1:int>"
+HIT_COLS = ("doc_id", "page", "block_seq", "query_id", *BOX_COLS, "snippet", "source", "match_type")
+
+
+def _span(q: Query, match_type: str, c0: Column, c1: Column) -> Column:
+    return F.struct(F.lit(q.query_id).alias("query_id"), F.lit(match_type).alias("match_type"),
+                    c0.alias("c0"), c1.alias("c1")).cast(SPAN)
+
+
+def _not_stamp(queries: Sequence[Query], text: Column, box: Column) -> Column:
+    """False for a hit that is only a page-sized stamp word."""
+    ok = F.lit(True)
+    for q in queries:
+        if q.norm in tx.STAMP_WORDS:
+            ok = ok & ~((F.col("query_id") == q.query_id) & geo.stamp_hit(text, box, q.norm))
+    return ok
+
+
+def _place_spans(spans: DataFrame, queries: Sequence[Query], around: int, stamp_text: Column | None = None
+                 ) -> DataFrame:
+    """Box and snippet of character spans of blocks (columns t, x0..y1, c0, c1)."""
+    t, c0, c1 = F.col("t"), F.col("c0"), F.col("c1")
+    d = spans.withColumn("_b", geo.slice_box(geo.box_of(), c0, c1, F.length(t)))
+    d = d.filter(_not_stamp(queries, t if stamp_text is None else stamp_text, F.col("_b")))
+    return d.select("doc_id", "page", "block_seq", "query_id", *[F.col(f"_b.{c}").alias(c) for c in BOX_COLS],
+                    tx.snippet(t, c0, c1, around).alias("snippet"), F.lit("ocr").alias("source"), "match_type")
+
+
 # ---- stages 1 to 3: one block at a time ------------------------------------------------------------
 
-def _first_index(low: Column, q: Query) -> Column:
-    return F.instr(low, F.lit(q.low)) - 1
-
-
-def _block_hit(q: Query, kind: str) -> Column:
-    """Hit struct of one stage for the current block, or null."""
-    t, b = F.col("t"), geo.box_of()
-    n = F.length(t)
-    if kind == "digit_formatted":
-        if len(q.digits) < 2:
-            return F.lit(None)
-        span = tx.flexible_digits_span(t, q.digits)
-        c0, c1 = span["c0"], span["c1"]
-        found = span.isNotNull()
-    else:
-        c0 = _first_index(F.lower(t), q)
-        c1 = c0 + len(q.raw)
-        whole = tx.boundary_ok(t, c0, F.lit(len(q.raw)))
-        found = F.contains(F.lower(t), F.lit(q.low)) & (whole if kind == "exact" else ~whole)
-        if kind == "exact_loose" and len(q.raw) < 3:
-            return F.lit(None)
-    sliced = geo.slice_box(b, c0, c1, n)
-    if kind != "digit_formatted":
-        found = found & ~geo.stamp_hit(t, sliced, q.norm)
-    return F.when(found, _hit(q, kind, sliced, tx.snippet(t, c0, c1, 10)))
+def _block_spans(q: Query, kinds: Sequence[str]) -> Column:
+    """Span of the best of the wanted stages in the current block, or null."""
+    t, low = F.col("t"), F.col("_low")
+    at = F.instr(low, F.lit(q.low)) - 1
+    end = at + len(q.raw)
+    whole = tx.boundary_ok(t, at, F.lit(len(q.raw)))
+    cases = F.when(F.lit(False), F.lit(None).cast(SPAN))
+    if "exact" in kinds:
+        cases = cases.when((at >= 0) & whole, _span(q, "exact", at, end))
+    if "exact_loose" in kinds and len(q.raw) >= 3:
+        cases = cases.when((at >= 0) & ~whole, _span(q, "exact_loose", at, end))
+    if "digit_formatted" in kinds and len(q.digits) >= 2:
+        hit = tx.flexible_digits_span(t, q.digits)
+        cases = cases.when(t.rlike(tx.flexible_digits_pattern(q.digits)),
+                           _span(q, "digit_formatted", hit["c0"], hit["c1"]))
+    return cases
 
 
 def block_stage(blocks: DataFrame, queries: Sequence[Query], kinds: Sequence[str]) -> DataFrame:
     """Hits of the given block stages; a block gives its best stage per query."""
-    src = _stripped(blocks)
-    # A cheap test on the raw text lets the scan drop blocks before any hit expression runs.
+    src = _stripped(blocks).withColumn("_low", F.lower("t"))
     maybe = reduce(Column.__or__, [_maybe(q, kinds) for q in queries])
-    keys = ["doc_id", "page", "block_seq"]
-    hits = []
-    for q in queries:
-        hs = [h for k in kinds if (h := _block_hit(q, k)) is not None]
-        hits.append(F.coalesce(*hs))
-    typed = [h.cast(HIT_STRUCT) for h in hits]
-    return _explode_hits(src.filter(maybe), keys, typed)
-
-
-HIT_STRUCT = ("struct<query_id:int,x0:double,y0:double,x1:double,y1:double,snippet:string,"
-              "source:string,match_type:string>")
+    spans = _explode(src.filter(maybe), ["doc_id", "page", "block_seq", "t", *BOX_COLS],
+                     [_block_spans(q, kinds) for q in queries])
+    return _place_spans(spans, queries, 10)
 
 
 def _maybe(q: Query, kinds: Sequence[str]) -> Column:
+    """A cheap test that drops blocks before any span is computed."""
     tests = []
     if {"exact", "exact_loose"} & set(kinds):
-        tests.append(F.contains(F.lower("t"), F.lit(q.low)))
+        tests.append(F.contains(F.col("_low"), F.lit(q.low)))
     if "digit_formatted" in kinds and len(q.digits) >= 2:
         tests.append(F.col("t").rlike(tx.flexible_digits_pattern(q.digits)))
     return reduce(Column.__or__, tests) if tests else F.lit(False)
@@ -209,8 +214,8 @@ def _starts(bs: Column, field: str, gap: int) -> Column:
                                 (acc["pos"] + F.length(b[field]) + F.lit(gap)).alias("pos")))["at"]
 
 
-def _span_box(bs: Column, starts: Column, field: str, c0: Column, c1: Column) -> Column:
-    """Union of the member slices under characters [c0, c1) of the joined text."""
+def _span_parts(bs: Column, starts: Column, field: str, c0: Column, c1: Column) -> Column:
+    """The member slices under characters [c0, c1) of the joined text."""
     def part(b: Column, i: Column) -> Column:
         s = F.element_at(starts, i + 1)
         a0 = F.greatest(c0, s) - s
@@ -222,7 +227,7 @@ def _span_box(bs: Column, starts: Column, field: str, c0: Column, c1: Column) ->
         else:
             sliced = geo.slice_box(box, a0, a1, F.length(b[field]))
         return F.when(a1 > a0, sliced)
-    return geo.union_box(F.filter(F.transform(bs, part), lambda x: x.isNotNull()))
+    return F.filter(F.transform(bs, part), lambda x: x.isNotNull())
 
 
 def _digit_pos(t: Column, k: Column) -> Column:
@@ -231,89 +236,112 @@ def _digit_pos(t: Column, k: Column) -> Column:
     return F.length(t) - F.length(F.regexp_replace(t, head, F.lit("")))
 
 
-@dataclass(frozen=True)
-class _LineRule:
-    """One way to look for a query in the joined text of a line."""
-
-    kind: int
-    field: str
-    sep: str
-    before: int
+def _forms(q: Query) -> dict[str, str]:
+    """The rules that apply to a query: phrase on word boundaries, without blanks, digits."""
+    f = {}
+    if len(q.norm) >= (2 if q.single_word else 1):
+        f["nt"] = q.norm
+    if len(q.nospace) >= 3:
+        f["ns"] = q.nospace
+    if len(q.digits) >= 2:
+        f["ds"] = q.digits
+    return f
 
-    def form(self, q: Query) -> str:
-        return {"nt": q.norm, "ns": q.nospace, "ds": q.digits}[self.field]
 
-    def applies(self, q: Query) -> bool:
-        f = self.form(q)
-        return len(f) >= {"nt": 2 if q.single_word else 1, "ns": 3, "ds": 2}[self.field]
+# Rules in the order they are tried on a line: joined text, separator, match types (one word, several).
+RULES = {"nt": (1, " ", ("line_merged_word", "line")), "ns": (2, "", ("line_nospace",) * 2),
+         "ds": (3, "", ("line_digits",) * 2)}
+LINE_KEY = ["doc_id", "page", "line_start"]
 
-    def match_type(self, q: Query) -> str:
-        return {"nt": "line_merged_word" if q.single_word else "line",
-                "ns": "line_nospace", "ds": "line_digits"}[self.field]
 
+def _segments(lined: DataFrame, pos: str, queries: Sequence[Query]) -> DataFrame:
+    """Segments with the joined text of every rule and the part of it that is the segment's own."""
+    reach = max(len(f) for q in queries for f in _forms(q).values()) + 1
+    segs = line_segments(lined, pos, 1, reach, ["nt", "ns", "ds", "t", *BOX_COLS])
+    bs = F.col("bs")
+    joined = {f"_t_{f}": F.array_join(F.transform(bs, lambda b: b[f]), sep)
+              for f, (_, sep, _) in RULES.items()}
+    s = segs.withColumns({
+        **joined,
+        # Members before the own ones stand first, copies from behind stand last.
+        "_nb": F.size(F.filter(bs, lambda b: ~b["own"] & (b["n"] < F.col("_seg") * SEGMENT_BLOCKS))),
+        "_no": F.size(F.filter(bs, lambda b: b["own"]))})
+    return s.withColumn("_whole", (F.col("_seg") == 0) & (F.size(bs) == F.col("_no")))
 
-PHRASE = _LineRule(1, "nt", " ", 0)
-NOSPACE = _LineRule(2, "ns", "", 1)
-DIGITS = _LineRule(3, "ds", "", 0)
 
-LINE_HIT = ("struct<query_id:int,kind:int,pos:bigint,match_type:string,ok:boolean,"
-            "x0:double,y0:double,x1:double,y1:double>")
+def _may_match(queries: Sequence[Query], fields: Sequence[str]) -> Column:
+    return reduce(Column.__or__, [F.contains(F.col(f"_t_{f}"), F.lit(v)) for q in queries
+                                  for f, v in _forms(q).items() if f in fields], F.lit(False))
 
 
-def _rule_hits(lined: DataFrame, rule: _LineRule, queries: Sequence[Query]) -> DataFrame | None:
-    """First match of each query in each segment, if it begins in the segment's own blocks.
+def _rule_spans(segs: DataFrame, queries: Sequence[Query], fields: Sequence[str], digits_ok: Column
+                ) -> DataFrame:
+    """First match of each query and rule in each segment, if it begins in the segment's own blocks.
 
     The phrase rule takes the first match on word boundaries. The other two look only at the first
     occurrence of a line: when it is off the boundary it still blocks later ones, so it is kept with
     ``ok`` false."""
-    qs = [q for q in queries if rule.applies(q)]
-    if not qs:
-        return None
-    d, pos = lined, "idx"
-    if rule.field == "ds":
-        d = lined.withColumn("ds", tx.digits_only(F.col("t"))).filter(F.col("ds") != "")
-        d = ordered.dense_positions(d, ["doc_id", "page", "line_start"],
-                                    {"_c": ordered.chunk_of(F.col("block_seq"))},
-                                    [F.col("block_seq")], "digit_pos")
-        pos = "digit_pos"
-    reach = max(len(rule.form(q)) for q in qs) + 1
-    cols = list(dict.fromkeys([rule.field, "t", *BOX_COLS]))
-    segs = line_segments(d, pos, rule.before, reach, cols)
-    bs, txt, st = F.col("bs"), F.col("_txt"), F.col("_st")
-    joined = lambda f, sep: F.array_join(F.transform(bs, lambda b: b[f]), sep)
-    s = segs.withColumn("_txt", joined(rule.field, rule.sep))
-    s = s.filter(reduce(Column.__or__, [F.contains(txt, F.lit(rule.form(q))) for q in qs]))
-    s = s.withColumn("_st", _starts(bs, rule.field, len(rule.sep)))
-    # Members before the own ones stand first, copies from behind stand last.
-    n_before = F.size(F.filter(bs, lambda b: ~b["own"] & (b["n"] < F.col("_seg") * SEGMENT_BLOCKS)))
-    n_own = F.size(F.filter(bs, lambda b: b["own"]))
-    s = s.withColumn("_lo", F.element_at(st, n_before + 1)).withColumn(
-        "_hi", F.element_at(st, n_before + n_own)
-        + F.length(F.element_at(bs, n_before + n_own)[rule.field]))
-    hits = []
-    for q in qs:
-        f = rule.form(q)
-        if rule is PHRASE:
-            at = tx.first_phrase_index(txt, f)
-            ok = F.lit(True)
-        else:
-            at = F.call_function("locate", F.lit(f), txt, F.col("_lo") + 1) - 1
-            ok = tx.boundary_ok(txt, at, F.lit(len(f))) if rule is NOSPACE else _digit_edges_ok(bs, st, at, len(f))
-        inside = at.isNotNull() & (at >= F.col("_lo")) & (at < F.col("_hi"))
-        box = _span_box(bs, st, rule.field, at, at + len(f))
-        if rule is not DIGITS:
-            stamp = (F.col("_seg") == 0) & geo.stamp_hit(joined("t", " "), box, q.norm)
-            ok = ok & ~stamp
-        hit = F.struct(
-            F.lit(q.query_id).alias("query_id"), F.lit(rule.kind).alias("kind"),
-            (F.col("_seg") * F.lit(1 << 32) + at).cast("bigint").alias("pos"),
-            F.lit(rule.match_type(q)).alias("match_type"), ok.alias("ok"),
-            *[box[c].alias(c) for c in BOX_COLS]).cast(LINE_HIT)
-        hits.append(F.when(F.contains(txt, F.lit(f)) & inside, hit))
-    return _explode_hits(s, ["doc_id", "page", "line_start"], hits)
-
-
-def _digit_edges_ok(bs: Column, starts: Column, at: Column, n: int) -> Column:
+    bs, nb, no = F.col("bs"), F.col("_nb"), F.col("_no")
+    bounds = {}
+    for f in fields:
+        st = F.col(f"_s_{f}")
+        bounds[f"_lo_{f}"] = F.element_at(st, nb + 1)
+        bounds[f"_hi_{f}"] = F.element_at(st, nb + no) + F.length(F.element_at(bs, nb + no)[f])
+    d = segs.withColumns({f"_s_{f}": _starts(bs, f, len(RULES[f][1])) for f in fields}).withColumns(bounds)
+    found = []
+    for q in queries:
+        for f, v in _forms(q).items():
+            if f not in fields:
+                continue
+            txt, lo = F.col(f"_t_{f}"), F.col(f"_lo_{f}")
+            # A phrase cannot begin before the own blocks of a segment without being cut by their edge.
+            at = (_first_phrase_from(txt, v, lo) if f == "nt" else
+                  F.nullif(F.call_function("locate", F.lit(v), txt, lo + 1) - 1, F.lit(-1)))
+            ok = F.contains(txt, F.lit(v)) & (digits_ok if f == "ds" else F.lit(True))
+            found.append(F.when(ok, F.struct(
+                F.lit(q.query_id).alias("query_id"), F.lit(RULES[f][0]).alias("kind"),
+                F.lit(RULES[f][2][0 if q.single_word else 1]).alias("match_type"),
+                at.alias("at"), F.lit(len(v)).alias("n")).cast(
+                    "struct<query_id:int,kind:int,match_type:string,at:int,n:int>")))
+    keep = [*LINE_KEY, "_seg", "bs", *[f"{p}_{f}" for f in fields for p in ("_t", "_s", "_lo", "_hi")]]
+    spans = _explode(d, keep, found)
+    at, n, kind = F.col("at"), F.col("n"), F.col("kind")
+
+    def of(p: str) -> Column:
+        c = F.col(f"{p}_{fields[0]}")
+        for f in fields[1:]:
+            c = F.when(kind == RULES[f][0], F.col(f"{p}_{f}")).otherwise(c)
+        return c
+
+    spans = spans.withColumns({"_txt": of("_t"), "_st": of("_s")}).filter(
+        at.isNotNull() & (at >= of("_lo")) & (at < of("_hi")))
+    parts, ok = None, F.lit(True)
+    for f in fields:
+        k = kind == RULES[f][0]
+        p = _span_parts(bs, F.col("_st"), f, at, at + n)
+        parts = p if parts is None else F.when(k, p).otherwise(parts)
+        if f == "ns":
+            ok = F.when(k, tx.boundary_ok(F.col("_txt"), at, n)).otherwise(ok)
+        if f == "ds":
+            ok = F.when(k, _digit_edges_ok(bs, F.col("_st"), at, n)).otherwise(ok)
+    boxes = spans.withColumn("_parts", parts).withColumn("_b", geo.union_box(F.col("_parts")))
+    # A stamp alone on its line: such a line is shorter than one segment.
+    raw = F.array_join(F.transform(bs, lambda b: b["t"]), " ")
+    ok = ok & ((F.col("_seg") > 0) | (kind == 3) | _not_stamp(queries, raw, F.col("_b")))
+    head = F.substring(F.array_join(F.transform(F.slice(bs, 1, 120), lambda b: b["nt"]), " "), 1, 120)
+    return boxes.select(
+        *LINE_KEY, "query_id", "kind", (F.col("_seg") * F.lit(1 << 32) + at).cast("bigint").alias("pos"),
+        "match_type", ok.alias("ok"), *[F.col(f"_b.{c}").alias(c) for c in BOX_COLS],
+        F.when(F.col("_seg") == 0, head).alias("head"))
+
+
+def _first_phrase_from(text: Column, q: str, lo: Column) -> Column:
+    """First occurrence on word boundaries at or after ``lo``, where a block begins."""
+    at = tx.first_phrase_index(F.substring(text, lo + 1, F.length(text)), q)
+    return at + lo
+
+
+def _digit_edges_ok(bs: Column, starts: Column, at: Column, n: Column) -> Column:
     """The characters around the match in the blocks it begins and ends in are not digits."""
     def holder(p: Column) -> Column:
         return F.filter(F.transform(bs, lambda b, i: F.struct(
@@ -325,27 +353,47 @@ def _digit_edges_ok(bs: Column, starts: Column, at: Column, n: int) -> Column:
     return ~tx.is_digit_char(before) & ~tx.is_digit_char(after)
 
 
+def _head_rows(segs: DataFrame, queries: Sequence[Query]) -> DataFrame:
+    """Head text of lines longer than one segment, for hits further on."""
+    head = F.substring(F.array_join(F.transform(F.slice("bs", 1, 120), lambda b: b["nt"]), " "), 1, 120)
+    long = segs.filter((F.col("_seg") == 0) & ~F.col("_whole"))
+    ids = F.array(*[F.lit(q.query_id) for q in queries])
+    return long.select(*LINE_KEY, F.explode(ids).alias("query_id"), head.alias("head"))
+
+
 def line_stage(blocks: DataFrame, queries: Sequence[Query], *, y_tol: float = layout.SEARCH_Y_TOL,
                x_gap: float = layout.SEARCH_X_GAP) -> DataFrame:
     """Merged-line hits: the phrase on word boundaries, else without blanks, else its digits. At most
-    one hit per line and query."""
-    lined = merged_lines(blocks, y_tol=y_tol, x_gap=x_gap)
-    found = reduce(DataFrame.unionByName, [
-        h for rule in (PHRASE, NOSPACE, DIGITS) if (h := _rule_hits(lined, rule, queries)) is not None])
+    one hit per line and query.
+
+    All rules share one pass over the segments. Digits may lie far apart on a line, so lines longer than a
+    segment take the digit rule over their digit-bearing blocks alone."""
+    qs = [q for q in queries if _forms(q)]
+    fields = [f for f in RULES if any(f in _forms(q) for q in qs)]
+    lined = merged_lines(blocks, y_tol=y_tol, x_gap=x_gap).withColumn("ds", tx.digits_only(F.col("t")))
+    segs = _segments(lined, "idx", qs)
+    found = [_rule_spans(segs.filter(_may_match(qs, fields)), qs, fields, F.col("_whole")),
+             _head_rows(segs, qs)]
+    numeric = [q for q in qs if "ds" in _forms(q)]
+    if numeric:
+        long = lined.filter(F.col("idx") >= SEGMENT_BLOCKS).select(*LINE_KEY).distinct()
+        d = lined.filter(F.col("ds") != "").join(long, LINE_KEY, "left_semi")
+        d = ordered.dense_positions(d, LINE_KEY, {"_c": ordered.chunk_of(F.col("block_seq"))},
+                                    [F.col("block_seq")], "digit_pos")
+        far = _segments(d, "digit_pos", numeric)
+        found.append(_rule_spans(far.filter(_may_match(numeric, ["ds"])), numeric, ["ds"], F.lit(True))
+                     .withColumn("head", F.lit(None).cast("string")))
+    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), found)
     row = F.struct("pos", "match_type", "ok", *BOX_COLS)
-    line = ["doc_id", "page", "line_start"]
-    firsts = found.groupBy(*line, "query_id").agg(
+    firsts = rows.groupBy(*LINE_KEY, "query_id").agg(
+        F.max("head").alias("head"),
         *[F.min(F.when(F.col("kind") == k, row)).alias(f"k{k}") for k in (1, 2, 3)])
     pick = F.coalesce(*[F.when(F.col(f"k{k}.ok"), F.col(f"k{k}")) for k in (1, 2, 3)])
-    hits = firsts.select(*line, "query_id", pick.alias("b")).filter(F.col("b").isNotNull())
-    # The snippet is the head of the line: at most its first 120 blocks are gathered.
-    parts = F.sort_array(F.collect_list(F.struct("idx", "nt")))
-    heads = lined.filter(F.col("idx") < 120).join(hits.select(*line).distinct(), line, "left_semi").groupBy(
-        *line).agg(F.substring(F.array_join(F.transform(parts, lambda s: s["nt"]), " "), 1, 120).alias("snippet"))
-    return hits.join(heads, line).select(
+    hits = firsts.withColumn("b", pick).filter(F.col("b").isNotNull())
+    return hits.select(
         "doc_id", "page", F.col("line_start").alias("block_seq"), "query_id",
-        *[F.col(f"b.{c}").alias(c) for c in BOX_COLS], "snippet", F.lit("ocr").alias("source"),
-        F.col("b.match_type").alias("match_type"))
+        *[F.col(f"b.{c}").alias(c) for c in BOX_COLS], F.col("head").alias("snippet"),
+        F.lit("ocr").alias("source"), F.col("b.match_type").alias("match_type"))
 
 
 def search_lines(blocks: DataFrame, texts: Sequence[str] | str, **kw) -> DataFrame:
@@ -363,54 +411,55 @@ def fuzzy_stage(blocks: DataFrame, queries: Sequence[Query]) -> DataFrame:
     src = _stripped(blocks).filter(F.length("t") >= 2)
     single = [q for q in queries if q.single_word and len(q.norm) >= 3]
     multi = [q for q in queries if not q.single_word and len(q.norm) >= 3]
-    keys = ["doc_id", "page", "block_seq"]
+    keys = ["doc_id", "page", "block_seq", "t", *BOX_COLS]
     parts = []
     if single:
         d = src.withColumn("_ps", F.split("t", _WORD_EDGE))
         d = tx.with_norm(d.withColumn("_pj", F.array_join("_ps", _MARK)), "_pj", "_pn")
         d = d.withColumn("_pn", F.split("_pn", _MARK))
-        parts.append(_explode_hits(d, keys, [_token_hit(q).cast(HIT_STRUCT) for q in single]))
+        spans = _explode(d, keys, [_token_span(q) for q in single])
+        parts.append(_place_spans(spans, single, 8, F.substring(F.col("t"), F.col("c0") + 1,
+                                                                F.col("c1") - F.col("c0"))))
     if multi:
         d = tx.with_norm(src, "t", "nt")
-        parts.append(_explode_hits(d, keys, [_token_set_hit(q).cast(HIT_STRUCT) for q in multi]))
+        spans = _explode(d, keys, [_token_set_span(q) for q in multi])
+        parts.append(spans.select(
+            "doc_id", "page", "block_seq", "query_id", *BOX_COLS, F.substring("t", 1, 120).alias("snippet"),
+            F.lit("ocr").alias("source"), "match_type"))
     if not parts:
-        return _explode_hits(src.filter(F.lit(False)), keys, [F.lit(None).cast(HIT_STRUCT)])
+        parts.append(_place_spans(_explode(src, keys, [F.lit(None).cast(SPAN)]), [], 8))
     return reduce(DataFrame.unionByName, parts)
 
 
-def _token_hit(q: Query) -> Column:
+def _token_span(q: Query) -> Column:
     qn = q.norm
     need = sim.block_thresholds(q.raw, qn)[1]
-    ps, pn, t, b = F.col("_ps"), F.col("_pn"), F.col("t"), geo.box_of()
+    ps, pn = F.col("_ps"), F.col("_pn")
     delta = sim.max_length_delta(len(qn))
 
-    def span(i: Column) -> tuple[Column, Column]:
-        c0 = F.length(F.array_join(F.slice(ps, F.lit(1), i), ""))
-        return c0, c0 + F.length(F.element_at(ps, i + 1))
-
     def close(p: Column, i: Column) -> Column:
         n = F.length(p)
         ok = (n >= 2) & (F.abs(n - len(qn)) <= delta) & tx.is_word_char(F.substring(p, 1, 1))
-        ok = ok & (F.when(ok, sim.ratio(p, qn)) >= need)
-        c0, c1 = span(i)
-        if qn in tx.STAMP_WORDS:
-            ok = ok & ~geo.stamp_hit(F.element_at(ps, i + 1), geo.slice_box(b, c0, c1, F.length(t)), qn)
-        return F.when(ok, F.struct(c0.alias("c0"), c1.alias("c1")))
+        return F.when(ok & (F.when(ok, sim.ratio(p, qn)) >= need), i)
+
+    first = F.get(F.filter(F.transform(pn, close), lambda x: x.isNotNull()), F.lit(0))
+
+    def span(i: Column) -> Column:
+        c0 = F.length(F.array_join(F.slice(ps, F.lit(1), i), ""))
+        return _span(q, "fuzzy_block", c0, c0 + F.length(F.element_at(ps, i + 1)))
 
-    first = F.filter(F.transform(pn, close), lambda x: x.isNotNull())
-    h = F.get(first, F.lit(0))
-    return F.when(h.isNotNull(), _hit(q, "fuzzy_block", geo.slice_box(b, h["c0"], h["c1"], F.length(t)),
-                                      tx.snippet(t, h["c0"], h["c1"], 8)))
+    # One-element array: the position is computed once and bound by the lambda.
+    return F.get(F.transform(F.filter(F.array(first), lambda x: x.isNotNull()), span), F.lit(0))
 
 
-def _token_set_hit(q: Query) -> Column:
+def _token_set_span(q: Query) -> Column:
     need = max(sim.block_thresholds(q.raw, q.norm)[1] - 2, 78)
     gate = F.lit(True)
     if len(q.nospace) >= 6:
         gate = F.contains(tx.remove_spaces(F.col("nt")), F.lit(q.nospace))
     score = sim.token_set_ratio(F.when(gate, F.col("nt")), q.norm)
-    ok = F.coalesce(score >= need, F.lit(False))
-    return F.when(ok, _hit(q, "fuzzy_block", geo.box_of(), F.substring("t", 1, 120)))
+    return F.when(F.coalesce(score >= need, F.lit(False)),
+                  _span(q, "fuzzy_block", F.lit(0), F.length("t")))
 
 
 def search_fuzzy(blocks: DataFrame, texts: Sequence[str] | str) -> DataFrame:
@@ -486,8 +535,7 @@ def _cascade(blocks: DataFrame, qs: Sequence[Query], y_tol: float, x_gap: float)
     lines = materialise(line_stage(still_open(done), qs, y_tol=y_tol, x_gap=x_gap).join(done, pair, "left_anti"))
     done = done.unionByName(lines.select(*pair).distinct())
     fuzzy = fuzzy_stage(still_open(done), qs).join(done, pair, "left_anti")
-    cols = ["doc_id", "page", "block_seq", "query_id", *BOX_COLS, "snippet", "source", "match_type"]
-    hits = first.select(*cols).unionByName(lines.select(*cols)).unionByName(fuzzy.select(*cols))
+    hits = first.select(*HIT_COLS).unionByName(lines.select(*HIT_COLS)).unionByName(fuzzy.select(*HIT_COLS))
     return dedupe.ocr_hits(hits, MATCH_RANK).select(*out_cols)
 
 
