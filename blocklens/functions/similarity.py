@@ -200,19 +200,16 @@ def _pieces(idx: list[int], texts: Sequence[str], budget: int = 200_000):
         yield part
 
 
-def best_keyword(c: Column, keywords: Sequence[str]) -> Column:
-    """struct(keyword, score) with the highest partial ratio; the first keyword wins ties."""
-    kws = list(keywords)
+def best_keywords(c: Column, groups: Sequence[Sequence[str]]) -> Column:
+    """array<double>: for each group of keywords the best partial ratio, in one Arrow pass."""
+    gs = [[k.lower() for k in g] for g in groups]
 
-    @F.pandas_udf("keyword string, score double")
-    def udf(s: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("array<double>")
+    def udf(s: pd.Series) -> pd.Series:
         def score(texts: list[str]):
-            m = np.stack([partial_scores(texts, k.lower()) for k in kws])
-            best = m.argmax(axis=0)
-            return [(kws[b] if m[b, i] > 0 else None, float(m[b, i])) for i, b in enumerate(best)]
-        got = _per_distinct(s, score)
-        return pd.DataFrame({"keyword": [g[0] if g else None for g in got],
-                             "score": [g[1] if g else None for g in got]})
+            rows = np.stack([np.max([partial_scores(texts, k) for k in g], axis=0) for g in gs])
+            return [list(map(float, r)) for r in rows.T]
+        return _per_distinct(s, score)
 
     return udf(F.lower(c))
 

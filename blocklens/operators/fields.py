@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from ..functions import geometry as geo
 from ..functions import similarity as sim
 from ..functions import text as tx
 from ..plans import ordered
+from ..plans.stage import materialise
 
 STACKED_MAX_GAP = 52
 STACKED_MIN_OVERLAP = 35
@@ -34,28 +36,21 @@ def _value_of(t: Column) -> Column:
     return tx.strip(F.substring(t, F.instr(t, ":") + 1, F.length(t)))
 
 
-def _candidate(seq: Column, label: Column, value: Column, page: Column, box: Column, conf: Column,
-               detection: Column) -> Column:
-    return F.struct(
-        seq.alias("block_seq"), tx.slug(label).alias("field_id"),
-        F.substring(label, 1, 120).alias("name"), F.substring(label, 1, 120).alias("label"),
-        F.substring(value, 1, 500).alias("value"), page.alias("page"),
-        *[box[c].alias(c) for c in BOX_COLS],
-        F.round(F.least(F.lit(1.0), conf), 3).alias("confidence"), detection.alias("detection"))
-
-
 def label_value_fields(blocks: DataFrame, *, include_placeholders: bool = False) -> DataFrame:
     """``Label: value`` blocks on their own: a pure projection, no neighbours."""
     t = tx.strip(F.col("text"))
     label, value = _label_of(t), _value_of(t)
-    empty = tx.looks_empty(value)
-    conf = F.when(empty, F.lit(0.40)).otherwise(tx.label_value_confidence(label, value))
-    det = F.when(empty, F.lit("label_placeholder")).otherwise(F.lit("label_value"))
-    ok = F.contains(t, F.lit(":")) & (F.length(label) >= 2) & (value != "")
-    ok = ok if include_placeholders else ok & ~empty
-    return (blocks.filter(ok).select("doc_id", _candidate(
-        F.col("block_seq"), label, value, F.col("page"), geo.box_of(), conf, det).alias("c"))
-        .select("doc_id", "c.*"))
+    d = blocks.filter(F.contains("text", F.lit(":"))).withColumns({"_l": label, "_v": value}).filter(
+        (F.length("_l") >= 2) & (F.col("_v") != "")).withColumn("_blank", tx.looks_empty(F.col("_v")))
+    if not include_placeholders:
+        d = d.filter(~F.col("_blank"))
+    conf = F.when(F.col("_blank"), F.lit(0.40)).otherwise(
+        tx.label_value_confidence(F.col("_l"), F.col("_v")))
+    det = F.when(F.col("_blank"), "label_placeholder").otherwise("label_value")
+    return d.select(
+        "doc_id", "block_seq", tx.slug(F.col("_l")).alias("field_id"), F.substring("_l", 1, 120).alias("name"),
+        F.substring("_l", 1, 120).alias("label"), F.substring("_v", 1, 500).alias("value"), "page", *BOX_COLS,
+        F.round(F.least(F.lit(1.0), conf), 3).alias("confidence"), det.alias("detection"))
 
 
 # ---- neighbours: the three-state automaton ---------------------------------------------------------
@@ -66,41 +61,49 @@ def label_value_fields(blocks: DataFrame, *, include_placeholders: bool = False)
 # is consumed and acts as in N otherwise. So a_i is a constant or the negation of a_(i-1): the bit is the
 # last constant before it, flipped once per block since. A running maximum finds that constant.
 
-def _own_state(t: Column, box: Column, page: Column, nxt: Column) -> Column:
-    colon = F.contains(t, F.lit(":"))
-    opens = (F.length(_label_of(t)) >= 2) & (_value_of(t) == "")
-    nv = tx.strip(nxt["text"])
-    stacked = (tx.looks_like_label(t) & ~tx.looks_like_title_hyphen(t) & nxt.isNotNull()
-               & (nxt["page"] == page) & (nxt["y0"] - box["y1"] <= STACKED_MAX_GAP)
-               & (F.least(box["x1"], nxt["x1"]) - F.greatest(box["x0"], nxt["x0"]) >= STACKED_MIN_OVERLAP)
-               & tx.stacked_value_ok(nv)
-               & (~F.contains(F.substring(nv, 1, 20), F.lit(":")) | (F.length(nv) > 25)))
-    return F.when(t == "", F.lit("N")).when(
-        colon, F.when(opens, F.lit("P")).otherwise(F.lit("N"))).when(
-        F.coalesce(stacked, F.lit(False)), F.lit("C")).otherwise(F.lit("N"))
-
-
-def _consumed_after_label(t: Column) -> Column:
-    """A block after ``Label:`` is its value unless it starts a label of its own or is blank."""
+_SHAPE = ("page", *BOX_COLS)
+
+
+def _features(blocks: DataFrame) -> DataFrame:
+    """What one block says by itself: the tests run once per block, before any shuffle.
+
+    ``opens``: ``Label:`` without a value. ``heads``: may be the label of a stacked pair. ``below``: may be
+    the value of one. ``taken``: is the value when the block before is an open label."""
+    t = F.col("text")
+    b = blocks.select("doc_id", "page", "block_seq", tx.strip(t).alias("text"), *BOX_COLS)
+    b = b.withColumns({"_label": _label_of(t), "_value": _value_of(t), "_colon": F.contains(t, F.lit(":")),
+                       "_empty": tx.looks_empty(t), "_islabel": tx.looks_like_label(t)})
+    n, colon, islabel = F.length(t), F.col("_colon"), F.col("_islabel")
     head = F.substring(t, 1, 36)
     pre = tx.strip(F.substring_index(head, ":", 1))
-    new_label = F.contains(head, F.lit(":")) & (F.length(_label_of(t)) >= 3) & pre.rlike(r"\p{L}")
-    return ~new_label & (t != "") & (tx.looks_like_plain_value(t) | tx.looks_empty(t))
+    new_label = F.contains(head, F.lit(":")) & (F.length("_label") >= 3) & pre.rlike(r"\p{L}")
+    return b.withColumns({
+        "opens": colon & (F.length("_label") >= 2) & (F.col("_value") == ""),
+        "heads": islabel & ~tx.looks_like_title_hyphen(t),
+        "below": tx.stacked_value_ok(t) & (~F.contains(F.substring(t, 1, 20), F.lit(":")) | (n > 25)),
+        "taken": ~new_label & (t != "") & (F.col("_empty") | tx.looks_like_plain_value(t)),
+    }).drop("_islabel")
+
+
+def _stacks(upper: Column, lower: Column) -> Column:
+    """Two neighbours form a stacked pair."""
+    return (upper["heads"] & lower["below"] & (upper["page"] == lower["page"])
+            & (lower["y0"] - upper["y1"] <= STACKED_MAX_GAP)
+            & (F.least(upper["x1"], lower["x1"]) - F.greatest(upper["x0"], lower["x0"]) >= STACKED_MIN_OVERLAP))
 
 
 def scan_states(blocks: DataFrame) -> DataFrame:
-    """Blocks with their stripped text, neighbours and the state they are reached in (``state``)."""
-    b = blocks.select("doc_id", "page", "block_seq", tx.strip(F.col("text")).alias("text"), *BOX_COLS)
-    near = ordered.with_neighbours(b, ["doc_id"], "block_seq", ["text", "page", *BOX_COLS],
-                                   prev="_p", next="_n")
-    here = F.struct("text", "page", *BOX_COLS)
-    own = _own_state(F.col("text"), geo.box_of(), F.col("page"), F.col("_n"))
-    p = F.col("_p")
-    before = F.when(p.isNull(), F.lit("N")).otherwise(_own_state(p["text"], p, p["page"], here))
-    d = near.withColumn("_own", own).withColumn("_before", before).withColumn(
-        "_taken", _consumed_after_label(F.col("text")))
+    """Blocks with their features and neighbours and the state they are reached in (``state``)."""
+    near = ordered.with_neighbours(
+        _features(blocks), ["doc_id"], "block_seq", ["text", "opens", "heads", "below", *_SHAPE],
+        prev="_p", next="_n")
+    here = F.struct("heads", "below", *_SHAPE)
+    own = F.when(F.col("opens"), "P").when(F.coalesce(_stacks(here, F.col("_n")), F.lit(False)), "C").otherwise("N")
+    before = F.when(F.coalesce(F.col("_p.opens"), F.lit(False)), "P").when(
+        F.coalesce(_stacks(F.col("_p"), here), F.lit(False)), "C").otherwise("N")
+    d = near.withColumns({"_own": own, "_before": before})
     const = (F.when(F.col("_own") == "N", 0).when(F.col("_before") == "N", 1)
-             .when((F.col("_before") == "P") & ~F.col("_taken"), 1))
+             .when((F.col("_before") == "P") & ~F.col("taken"), 1))
     d = ordered.running_max(d, ["doc_id"], "_chunk", ["block_seq"],
                             F.when(const.isNotNull(), F.struct("block_seq", const.alias("bit"))),
                             "_last", exclusive=True)
@@ -113,39 +116,42 @@ def scan_states(blocks: DataFrame) -> DataFrame:
 def dynamic_candidates(blocks: DataFrame, *, include_placeholders: bool = False,
                        max_standalone: int = STANDALONE_PER_PAGE) -> DataFrame:
     d = scan_states(blocks)
-    t, seq, page, box = F.col("text"), F.col("block_seq"), F.col("page"), geo.box_of()
-    p, nxt = F.col("_p"), F.col("_n")
-    taken = (F.col("state") == "P") & F.col("_taken")
-    free = (F.col("state") == "N") | ((F.col("state") == "P") & ~F.col("_taken"))
-    empty = tx.looks_empty(t)
-    plabel = _label_of(p["text"])
-    after_label = _candidate(
-        seq, plabel, t, page, box,
-        F.when(empty, F.lit(0.36)).otherwise(tx.label_value_confidence(plabel, F.substring(t, 1, 500)) * 0.92),
-        F.when(empty, F.lit("label_next_placeholder")).otherwise(F.lit("label_next_plain")))
-    label, value = _label_of(t), _value_of(t)
-    vempty = tx.looks_empty(value)
-    one_line = _candidate(
-        seq, label, value, page, box,
-        F.when(vempty, F.lit(0.40)).otherwise(tx.label_value_confidence(label, value)),
-        F.when(vempty, F.lit("label_placeholder")).otherwise(F.lit("label_value")))
-    stacked = _candidate(seq, t, tx.strip(nxt["text"]), page, nxt, F.lit(0.52), F.lit("stacked_label_plain"))
-    colon = F.contains(t, F.lit(":"))
-    has_value = colon & (F.length(label) >= 2) & (value != "")
-    lone = free & ~colon & (t != "") & (F.col("_own") != "C") & (tx.is_date_alone(t) | tx.is_id_alone(t))
-    standalone = F.struct(
-        seq.alias("block_seq"), F.lit("").alias("field_id"),
-        F.concat(F.lit("Detected: "), F.substring(t, 1, 56)).alias("name"), F.lit("").alias("label"),
-        F.substring(t, 1, 500).alias("value"), page.alias("page"), *[F.col(c) for c in BOX_COLS],
-        F.when(tx.is_date_alone(t), F.lit(0.58)).otherwise(F.lit(0.62)).alias("confidence"),
-        F.lit("standalone_pattern").alias("detection"))
-    keep = F.lit(True) if include_placeholders else F.lit(False)
-    cand = (F.when(taken & (keep | ~empty), after_label)
-            .when(free & has_value & (keep | ~vempty), one_line)
-            .when(free & ~colon & (F.col("_own") == "C"), stacked)
-            .when(lone & F.lit(max_standalone > 0), standalone))
-    found = d.select("doc_id", cand.alias("c")).filter(F.col("c").isNotNull()).select("doc_id", "c.*")
-    return _number_standalone(found, max_standalone)
+    t, value, colon = F.col("text"), F.col("_value"), F.col("_colon")
+    taken = (F.col("state") == "P") & F.col("taken")
+    free = (F.col("state") == "N") | ((F.col("state") == "P") & ~F.col("taken"))
+    one_line = colon & (F.length("_label") >= 2) & (value != "")
+    stacked = ~colon & (F.col("_own") == "C")
+    lone = ~colon & (t != "") & F.lit(max_standalone > 0) & (tx.is_date_alone(t) | tx.is_id_alone(t))
+    kind = (F.when(taken, "next").when(free & one_line, "value").when(free & stacked, "stacked")
+            .when(free & lone, "lone"))
+    # An explode of zero or one kinds, not a filter: a filter would be copied with everything it is made of
+    # into each step below. From here on only the few blocks that yield a field are left.
+    k = d.withColumn("_kind", F.explode(F.array_compact(F.array(kind))))
+    kind = F.col("_kind")
+    k = k.select("doc_id", "block_seq", "page", "text", "_kind", *BOX_COLS, F.col("_n").alias("_n"),
+                 F.when(kind == "next", _label_of(F.col("_p.text"))).when(kind == "value", F.col("_label"))
+                 .when(kind == "stacked", t).otherwise(F.lit("")).alias("_l"),
+                 F.when(kind == "value", value).when(kind == "stacked", F.col("_n.text")).otherwise(t).alias("_v"))
+    k = k.withColumn("_blank", (kind.isin("next", "value")) & tx.looks_empty(F.col("_v")))
+    if not include_placeholders:
+        k = k.filter(~F.col("_blank"))
+    blank = F.col("_blank")
+    score = tx.label_value_confidence(F.col("_l"), F.when(kind == "next", F.substring("_v", 1, 500)).otherwise(F.col("_v")))
+    conf = (F.when(kind == "next", F.when(blank, F.lit(0.36)).otherwise(score * 0.92))
+            .when(kind == "value", F.when(blank, F.lit(0.40)).otherwise(score))
+            .when(kind == "stacked", F.lit(0.52))
+            .otherwise(F.when(tx.is_date_alone(t), F.lit(0.58)).otherwise(F.lit(0.62))))
+    det = (F.when(kind == "next", F.when(blank, "label_next_placeholder").otherwise("label_next_plain"))
+           .when(kind == "value", F.when(blank, "label_placeholder").otherwise("label_value"))
+           .when(kind == "stacked", "stacked_label_plain").otherwise("standalone_pattern"))
+    lone_name = F.concat(F.lit("Detected: "), F.substring(t, 1, 56))
+    boxes = [F.when(kind == "stacked", F.col(f"_n.{c}")).otherwise(F.col(c)).alias(c) for c in BOX_COLS]
+    found = k.select(
+        "doc_id", "block_seq", tx.slug(F.col("_l")).alias("field_id"),
+        F.when(kind == "lone", lone_name).otherwise(F.substring("_l", 1, 120)).alias("name"),
+        F.substring("_l", 1, 120).alias("label"), F.substring("_v", 1, 500).alias("value"), "page", *boxes,
+        F.round(F.least(F.lit(1.0), conf), 3).alias("confidence"), det.alias("detection"))
+    return _number_standalone(materialise(found), max_standalone)
 
 
 def _number_standalone(cands: DataFrame, cap: int) -> DataFrame:
@@ -209,52 +215,50 @@ FIELD_SPECS = (
 NAME_START = r"^[A-Z][a-z]+\s+[A-Z][a-z]+"
 
 
-def _keyword_scores(blocks: DataFrame, spec: FieldSpec) -> Column:
+def _keyword_value(spec: FieldSpec) -> Column:
     line = F.col("text")
-    score = F.coalesce(sim.best_keyword(line, spec.keywords)["score"], F.lit(0.0))
     colon = F.contains(line, F.lit(":"))
-    hit = line.rlike(spec.value_pattern)
     after = F.substring(line, F.instr(line, ":") + 1, F.length(line))
-    value = (F.when(hit, tx.strip(F.regexp_extract(line, spec.value_pattern, 0)))
-             .when(colon & after.rlike(spec.value_pattern),
-                   tx.strip(F.regexp_extract(after, spec.value_pattern, 0)))
-             .when(colon, F.substring(tx.strip(after), 1, 80)))
-    return F.struct(score.alias("score"), value.alias("value"))
+    pat = spec.value_pattern
+    return (F.when(line.rlike(pat), tx.strip(F.regexp_extract(line, pat, 0)))
+            .when(colon & after.rlike(pat), tx.strip(F.regexp_extract(after, pat, 0)))
+            .when(colon, F.substring(tx.strip(after), 1, 80)))
 
 
 def keyword_fields(blocks: DataFrame, specs: Sequence[FieldSpec] = FIELD_SPECS) -> DataFrame:
     """Best block per document and known field. The candidates of all specs come from one scan and are
     reduced by a partial aggregate; ties go to the first block."""
-    scored = blocks
-    for i, s in enumerate(specs):
-        scored = scored.withColumn(f"_s{i}", _keyword_scores(blocks, s))
+    d = blocks.select("doc_id", "block_seq", "page", "text", *BOX_COLS,
+                      sim.best_keywords(F.col("text"), [s.keywords for s in specs]).alias("_s"))
+    d = d.withColumns({f"_v{i}": _keyword_value(s) for i, s in enumerate(specs)})
 
     def hit(i: int, s: FieldSpec) -> Column:
-        score, value = F.col(f"_s{i}.score"), F.col(f"_s{i}.value")
-        filled = value.isNotNull() & (value != "")
+        score, value = F.col("_s")[i], F.col(f"_v{i}")
+        filled = F.coalesce(value != "", F.lit(False))
         base = (score / 100.0) * 0.6 + F.when(filled, F.lit(0.4)).otherwise(F.lit(0.0))
-        conf = F.when(filled & value.rlike(s.value_pattern), F.least(F.lit(1.0), base + 0.15)).otherwise(base)
-        conf = F.when(value.isNull() & (score >= 55), score / 100.0 * 0.5).otherwise(conf)
-        ok = ~((score < 40) & value.isNull()) & (conf >= 0.25)
-        return F.when(ok, F.struct(
+        conf = (F.when(filled & value.rlike(s.value_pattern), F.least(F.lit(1.0), base + 0.15))
+                .when(value.isNull() & (score >= 55), score / 100.0 * 0.5).otherwise(base))
+        return F.when(value.isNotNull() | (score >= 40), F.struct(
             F.lit(i).alias("i"), F.lit(s.field_id).alias("field_id"), conf.alias("conf"),
             F.when(filled, value).otherwise(F.lit(SEE_PAGE)).alias("value")))
 
-    hits = (scored.select("doc_id", "block_seq", "page", *BOX_COLS, F.explode(F.array_compact(
+    hits = (d.select("doc_id", "block_seq", "page", *BOX_COLS, F.explode(F.array_compact(
         F.array(*[hit(i, s) for i, s in enumerate(specs)]))).alias("h"))
-        .select("doc_id", "block_seq", "page", *BOX_COLS, "h.*"))
+        .select("doc_id", "block_seq", "page", *BOX_COLS, "h.*").filter(F.col("conf") >= 0.25))
     best = hits.groupBy("doc_id", "i", "field_id").agg(F.min(F.struct(
         (-F.col("conf")).alias("k"), "block_seq", "page", *BOX_COLS, "value")).alias("b"))
     found = best.select(
         "doc_id", F.col("i").cast("bigint").alias("field_seq"), "field_id", "b.value", "b.page",
         *[f"b.{c}" for c in BOX_COLS],
         F.round(F.least(F.lit(1.0), -F.col("b.k")), 3).alias("confidence"))
+    parts = [found]
     for i, s in enumerate(specs):
         if s.name_fallback:
-            found = found.unionByName(_name_fallback(blocks, found, i, s))
-    return found.select("doc_id", "field_seq", "field_id", F.col("field_id").alias("name"),
-                        F.lit(None).cast("string").alias("label"), "value", "page", *BOX_COLS,
-                        "confidence", F.lit(None).cast("string").alias("detection"))
+            parts.append(_name_fallback(blocks, found, i, s))
+    return reduce(DataFrame.unionByName, parts).select(
+        "doc_id", "field_seq", "field_id", F.col("field_id").alias("name"),
+        F.lit(None).cast("string").alias("label"), "value", "page", *BOX_COLS, "confidence",
+        F.lit(None).cast("string").alias("detection"))
 
 
 def _name_fallback(blocks: DataFrame, found: DataFrame, i: int, s: FieldSpec) -> DataFrame:
