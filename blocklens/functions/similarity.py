@@ -90,12 +90,13 @@ def _best_window(pattern: str, texts: Sequence[str]) -> np.ndarray:
     codes = np.frombuffer(("\0" * pad + ("\0" * pad).join(texts) + "\0" * pad).encode("utf-32-le"),
                           dtype=np.uint32)
     alphabet, inverse = np.unique(codes, return_inverse=True)
-    masks = np.zeros(len(alphabet), dtype=np.uint64)
+    word = np.uint32 if m < 32 else np.uint64
+    masks = np.zeros(len(alphabet), dtype=word)
     where = {int(c): k for k, c in enumerate(alphabet)}
     for i, c in enumerate(pattern):
         k = where.get(ord(c))
         if k is not None and ord(c):
-            masks[k] |= np.uint64(1 << i)
+            masks[k] |= word(1 << i)
     bits = masks[inverse]
     n_windows = lens + pad
     offsets = np.concatenate(([0], np.cumsum(lens + pad)))[:-1]
@@ -103,8 +104,8 @@ def _best_window(pattern: str, texts: Sequence[str]) -> np.ndarray:
     first = np.concatenate(([0], np.cumsum(n_windows)))[:-1]
     k = np.arange(int(n_windows.sum())) - first[owner]
     start = offsets[owner] + k
-    full = np.uint64((1 << m) - 1)
-    v = np.full(len(start), full, dtype=np.uint64)
+    full = word((1 << m) - 1)
+    v = np.full(len(start), full, dtype=word)
     for j in range(m):
         u = v & bits[start + j]
         v = ((v + u) | (v - u)) & full
@@ -112,9 +113,7 @@ def _best_window(pattern: str, texts: Sequence[str]) -> np.ndarray:
     size = np.minimum(np.minimum(k + 1, m), lens[owner] + pad - k)
     total = m + size
     score = 100.0 * (1.0 - (total - 2 * lcs) / total)
-    best = np.zeros(len(texts))
-    np.maximum.at(best, owner, score)
-    return best
+    return np.maximum.reduceat(score, first)
 
 
 def _best_window_long(pattern: str, t: str) -> float:

@@ -33,7 +33,8 @@ def _words(spark: SparkSession, sf: str, pitch: int = 30) -> DataFrame:
 
 
 def _forms(spark: SparkSession, sf: str) -> DataFrame:
-    return derive.form_blocks(derive.table(spark, sf, "orders"), derive.table(spark, sf, "customer"))
+    orders = derive.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
+    return derive.form_blocks(derive.spread(orders, "o_orderkey"), derive.table(spark, sf, "customer"))
 
 
 def _form_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -244,7 +245,7 @@ def f_dynamic(spark, sf):
 
 
 def f_dynamic_documents(spark, sf):
-    return _field_view(fields.detect_fields(_words(spark, sf)))
+    return _field_view(fields.detect_fields(_lines(spark, sf)))
 
 
 def f_standalone(spark, sf):
