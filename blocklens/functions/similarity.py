@@ -89,15 +89,8 @@ def _best_window(pattern: str, texts: Sequence[str]) -> np.ndarray:
     lens = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
     codes = np.frombuffer(("\0" * pad + ("\0" * pad).join(texts) + "\0" * pad).encode("utf-32-le"),
                           dtype=np.uint32)
-    alphabet, inverse = np.unique(codes, return_inverse=True)
     word = np.uint32 if m < 32 else np.uint64
-    masks = np.zeros(len(alphabet), dtype=word)
-    where = {int(c): k for k, c in enumerate(alphabet)}
-    for i, c in enumerate(pattern):
-        k = where.get(ord(c))
-        if k is not None and ord(c):
-            masks[k] |= word(1 << i)
-    bits = masks[inverse]
+    bits = _mask_table(pattern, int(codes.max()), word)[codes]
     n_windows = lens + pad
     offsets = np.concatenate(([0], np.cumsum(lens + pad)))[:-1]
     owner = np.repeat(np.arange(len(texts)), n_windows)
@@ -116,6 +109,35 @@ def _best_window(pattern: str, texts: Sequence[str]) -> np.ndarray:
     return np.maximum.reduceat(score, first)
 
 
+def _mask_table(pattern: str, top: int, word) -> np.ndarray:
+    """Position bits of each character code up to ``top``; the padding code has none."""
+    table = np.zeros(top + 1, dtype=word)
+    for i, c in enumerate(pattern):
+        if 0 < ord(c) <= top:
+            table[ord(c)] |= word(1 << i)
+    return table
+
+
+def _best_inside(q: str, texts: Sequence[str]) -> np.ndarray:
+    """Best score of texts of one length (at most that of ``q``) against every window of ``q``."""
+    n, m = len(texts[0]), len(q)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).reshape(-1, n)
+    top = int(codes.max())
+    best = np.zeros(len(texts))
+    for start in range(1 - n, m):
+        w = q[max(0, start):start + n]
+        table = _mask_table(w, top, np.uint64)
+        full = np.uint64((1 << len(w)) - 1)
+        v = np.full(len(texts), full, dtype=np.uint64)
+        for j in range(n):
+            u = v & table[codes[:, j]]
+            v = ((v + u) | (v - u)) & full
+        lcs = len(w) - np.bitwise_count(v).astype(np.int64)
+        total = n + len(w)
+        np.maximum(best, 100.0 * (1.0 - (total - 2 * lcs) / total), out=best)
+    return best
+
+
 def _best_window_long(pattern: str, t: str) -> float:
     m, n = len(pattern), len(t)
     spans = [(max(0, s), min(n, s + m)) for s in range(1 - m, n)]
@@ -175,14 +197,18 @@ def partial_ratio(c: Column, q: str) -> Column:
 
 def partial_scores(texts: Sequence[str], q: str) -> np.ndarray:
     out = np.zeros(len(texts))
-    long = [i for i, t in enumerate(texts) if q and len(t) > len(q)]
-    if long:
-        for part in _pieces(long, texts):
-            out[part] = _best_window(q, [texts[i] for i in part])
-    done = set(long)
+    if not q or len(q) > 63:
+        out[:] = [partial_ratio_text(q, t) for t in texts]
+        return out
+    long = [i for i, t in enumerate(texts) if len(t) >= len(q)]
+    for part in _pieces(long, texts):
+        out[part] = _best_window(q, [texts[i] for i in part])
+    by_len: dict[int, list[int]] = {}
     for i, t in enumerate(texts):
-        if i not in done:
-            out[i] = partial_ratio_text(q, t)
+        if 0 < len(t) <= len(q):
+            by_len.setdefault(len(t), []).append(i)
+    for idx in by_len.values():
+        out[idx] = np.maximum(out[idx], _best_inside(q, [texts[i] for i in idx]))
     return out
 
 

@@ -251,6 +251,8 @@ def keyword_fields(blocks: DataFrame, specs: Sequence[FieldSpec] = FIELD_SPECS)
         "doc_id", F.col("i").cast("bigint").alias("field_seq"), "field_id", "b.value", "b.page",
         *[f"b.{c}" for c in BOX_COLS],
         F.round(F.least(F.lit(1.0), -F.col("b.k")), 3).alias("confidence"))
+    if any(s.name_fallback for s in specs):
+        found = materialise(found)  # three rows a document at most; read again by the fallback
     parts = [found]
     for i, s in enumerate(specs):
         if s.name_fallback:
