@@ -85,3 +85,31 @@ def running_max(df: DataFrame, group: Sequence[str], chunk: str, order: Sequence
     best = F.when(F.col("_in").isNull(), F.col("_carry")).when(
         F.col("_carry").isNull(), F.col("_in")).otherwise(F.greatest("_in", "_carry"))
     return inner.join(carry, keys).withColumn(out, best).drop("_v", "_in", "_carry")
+
+
+def chains(df: DataFrame, group: Sequence[str], chunk: Column, order: Sequence[str], cols: Sequence[str],
+           breaks, out: str) -> DataFrame:
+    """Gaps and islands: ``out`` is struct(order) of the row that opens the run a row belongs to.
+
+    ``breaks(prev, cur)`` compares two consecutive rows given as structs of ``cols``. ``chunk`` is monotone
+    in ``order``. Inside a chunk the predecessor is a plain lag; the summary of a chunk holds its first row,
+    its last row and its last opening, which settles the rows in front of the chunk's first own opening."""
+    keys = [*group, "_chunk"]
+    key, row = F.struct(*order), F.struct(*cols)
+    w = W.partitionBy(*keys).orderBy(*order)
+    d = df.withColumn("_chunk", chunk).withColumn("_prev", F.lag(row).over(w))
+    opens = F.coalesce(breaks(F.col("_prev"), row), F.lit(False))
+    d = d.withColumn("_open", F.when(opens, key)).drop("_prev")
+    ends = d.groupBy(*keys).agg(F.min(F.struct(key.alias("k"), row.alias("r"))).alias("_first"),
+                                F.max(F.struct(key.alias("k"), row.alias("r"))).alias("_last"),
+                                F.max("_open").alias("_top"))
+    over = W.partitionBy(*group).orderBy("_chunk")
+    ends = ends.withColumn("_before", F.lag("_last").over(over))
+    fresh = F.col("_before").isNull() | F.coalesce(
+        breaks(F.col("_before.r"), F.col("_first.r")), F.lit(False))
+    ends = ends.withColumn("_head", F.when(fresh, F.col("_first.k")))
+    carry = F.max(F.coalesce("_top", "_head")).over(over.rowsBetween(W.unboundedPreceding, -1))
+    ends = ends.select(*keys, F.coalesce("_head", carry).alias("_start"))
+    inner = d.withColumn("_in", F.max("_open").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return inner.join(ends, keys).withColumn(out, F.coalesce("_in", "_start")).drop(
+        "_chunk", "_open", "_in", "_start")
