@@ -203,7 +203,8 @@ def line_segments(lined: DataFrame, pos: str, before: int, after: int, payload:
     mine = F.col("_own") == F.col("_seg")
     members = F.sort_array(F.collect_list(F.struct(n.alias("n"), mine.alias("own"), *payload)))
     return (spread.groupBy("doc_id", "page", "line_start", "_seg")
-            .agg(members.alias("bs"), F.max(mine).alias("_real")).filter("_real").drop("_real"))
+            .agg(members.alias("bs"), F.count_if(mine).cast("int").alias("_no"),
+                 F.count_if(F.col("_own") < F.col("_seg")).cast("int").alias("_nb")).filter("_no > 0"))
 
 
 def _starts(bs: Column, field: str, gap: int) -> Column:
@@ -254,24 +255,26 @@ RULES = {"nt": (1, " ", ("line_merged_word", "line")), "ns": (2, "", ("line_nosp
 LINE_KEY = ["doc_id", "page", "line_start"]
 
 
-def _segments(lined: DataFrame, pos: str, queries: Sequence[Query]) -> DataFrame:
-    """Segments with the joined text of every rule and the part of it that is the segment's own."""
+def _segments(lined: DataFrame, pos: str, queries: Sequence[Query], fields: Sequence[str]) -> DataFrame:
+    """Segments with the joined text of every rule. Members in front of the own ones (``_nb`` of them) stand
+    first, copies from behind the ``_no`` own ones stand last."""
     reach = max(len(f) for q in queries for f in _forms(q).values()) + 1
-    segs = line_segments(lined, pos, 1, reach, ["nt", "ns", "ds", "t", *BOX_COLS])
+    cols = list(dict.fromkeys([*fields, "nt", "t", *BOX_COLS]))
+    s = line_segments(lined, pos, 1, reach, cols)
     bs = F.col("bs")
-    joined = {f"_t_{f}": F.array_join(F.transform(bs, lambda b: b[f]), sep)
-              for f, (_, sep, _) in RULES.items()}
-    s = segs.withColumns({
-        **joined,
-        # Members before the own ones stand first, copies from behind stand last.
-        "_nb": F.size(F.filter(bs, lambda b: ~b["own"] & (b["n"] < F.col("_seg") * SEGMENT_BLOCKS))),
-        "_no": F.size(F.filter(bs, lambda b: b["own"]))})
+    s = s.withColumns({f"_t_{f}": F.array_join(bs.getField(f), RULES[f][1]) for f in fields})
     return s.withColumn("_whole", (F.col("_seg") == 0) & (F.size(bs) == F.col("_no")))
 
 
 def _may_match(queries: Sequence[Query], fields: Sequence[str]) -> Column:
-    return reduce(Column.__or__, [F.contains(F.col(f"_t_{f}"), F.lit(v)) for q in queries
-                                  for f, v in _forms(q).items() if f in fields], F.lit(False))
+    """A phrase is also there without its blanks, so one text is enough for most queries."""
+    tests = []
+    for q in queries:
+        forms = {f: v for f, v in _forms(q).items() if f in fields}
+        if "nt" in forms and "ns" in forms:
+            del forms["nt"]
+        tests += [F.contains(F.col(f"_t_{f}"), F.lit(v)) for f, v in forms.items()]
+    return reduce(Column.__or__, tests, F.lit(False))
 
 
 def _rule_spans(segs: DataFrame, queries: Sequence[Query], fields: Sequence[str], digits_ok: Column
@@ -326,9 +329,9 @@ def _rule_spans(segs: DataFrame, queries: Sequence[Query], fields: Sequence[str]
             ok = F.when(k, _digit_edges_ok(bs, F.col("_st"), at, n)).otherwise(ok)
     boxes = spans.withColumn("_parts", parts).withColumn("_b", geo.union_box(F.col("_parts")))
     # A stamp alone on its line: such a line is shorter than one segment.
-    raw = F.array_join(F.transform(bs, lambda b: b["t"]), " ")
+    raw = F.array_join(bs.getField("t"), " ")
     ok = ok & ((F.col("_seg") > 0) | (kind == 3) | _not_stamp(queries, raw, F.col("_b")))
-    head = F.substring(F.array_join(F.transform(F.slice(bs, 1, 120), lambda b: b["nt"]), " "), 1, 120)
+    head = F.substring(F.array_join(F.slice(bs, 1, 120).getField("nt"), " "), 1, 120)
     return boxes.select(
         *LINE_KEY, "query_id", "kind", (F.col("_seg") * F.lit(1 << 32) + at).cast("bigint").alias("pos"),
         "match_type", ok.alias("ok"), *[F.col(f"_b.{c}").alias(c) for c in BOX_COLS],
@@ -355,7 +358,7 @@ def _digit_edges_ok(bs: Column, starts: Column, at: Column, n: Column) -> Column
 
 def _head_rows(segs: DataFrame, queries: Sequence[Query]) -> DataFrame:
     """Head text of lines longer than one segment, for hits further on."""
-    head = F.substring(F.array_join(F.transform(F.slice("bs", 1, 120), lambda b: b["nt"]), " "), 1, 120)
+    head = F.substring(F.array_join(F.slice("bs", 1, 120).getField("nt"), " "), 1, 120)
     long = segs.filter((F.col("_seg") == 0) & ~F.col("_whole"))
     ids = F.array(*[F.lit(q.query_id) for q in queries])
     return long.select(*LINE_KEY, F.explode(ids).alias("query_id"), head.alias("head"))
@@ -370,8 +373,10 @@ def line_stage(blocks: DataFrame, queries: Sequence[Query], *, y_tol: float = la
     segment take the digit rule over their digit-bearing blocks alone."""
     qs = [q for q in queries if _forms(q)]
     fields = [f for f in RULES if any(f in _forms(q) for q in qs)]
-    lined = merged_lines(blocks, y_tol=y_tol, x_gap=x_gap).withColumn("ds", tx.digits_only(F.col("t")))
-    segs = _segments(lined, "idx", qs)
+    lined = merged_lines(blocks, y_tol=y_tol, x_gap=x_gap)
+    if "ds" in fields:
+        lined = lined.withColumn("ds", tx.digits_only(F.col("t")))
+    segs = _segments(lined, "idx", qs, fields)
     found = [_rule_spans(segs.filter(_may_match(qs, fields)), qs, fields, F.col("_whole")),
              _head_rows(segs, qs)]
     numeric = [q for q in qs if "ds" in _forms(q)]
@@ -380,7 +385,7 @@ def line_stage(blocks: DataFrame, queries: Sequence[Query], *, y_tol: float = la
         d = lined.filter(F.col("ds") != "").join(long, LINE_KEY, "left_semi")
         d = ordered.dense_positions(d, LINE_KEY, {"_c": ordered.chunk_of(F.col("block_seq"))},
                                     [F.col("block_seq")], "digit_pos")
-        far = _segments(d, "digit_pos", numeric)
+        far = _segments(d, "digit_pos", numeric, ["ds"])
         found.append(_rule_spans(far.filter(_may_match(numeric, ["ds"])), numeric, ["ds"], F.lit(True))
                      .withColumn("head", F.lit(None).cast("string")))
     rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), found)

@@ -47,8 +47,9 @@ def word_blocks(documents: DataFrame, pitch: int = 30) -> DataFrame:
     d = (documents.select("doc_id", words.alias("w")).filter(F.size("w") > 0)
          .select("doc_id", F.posexplode(rows).alias("row", "ws"))
          .select("doc_id", "row", "ws", F.posexplode("ws").alias("k", "text")))
-    before = F.aggregate(F.slice("ws", F.lit(1), F.col("k")), F.lit(72),
-                         lambda acc, w: acc + F.length(w) * 5 + 5)
+    # Width of the words before: their joined text with one blank each, 5 pt a character.
+    joined = F.length(F.array_join(F.slice("ws", F.lit(1), F.col("k")), " "))
+    before = F.when(F.col("k") == 0, F.lit(72)).otherwise(joined * 5 + 77)
     y0 = (F.lit(60) + F.lit(pitch) * (F.col("row") % ROWS_PER_PAGE)).cast("double")
     return (d.withColumn("x0", before.cast("double")).select(
         "doc_id", (F.floor(F.col("row") / ROWS_PER_PAGE) + 1).cast("int").alias("page"),
