@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import CONCEPTS, PHRASES, WORD_QUERIES
+from .queries import CONCEPTS, DIGIT_QUERIES, PHRASES, WORD_QUERIES
 
 W = r"[\p{L}\p{N}\p{M}]"
 
@@ -115,7 +115,7 @@ def _digit_pattern(digits: str) -> str:
 
 def q_digits() -> str:
     parts = []
-    for i, d in enumerate(["9805", "00000", "7919"]):
+    for i, d in enumerate(["".join(c for c in t if c.isdigit()) for t in DIGIT_QUERIES]):
         pat = f"(?s)^((?:.*?\\D)??)({_digit_pattern(d)})(?:\\D|$)"
         parts.append(f"""SELECT doc_id, page, CAST({i} AS BIGINT) AS query_id, text, x0 AS bx0, x1 AS bx1, y0, y1,
           length(text) AS n, length(regexp_extract(text, '{pat}', 1)) AS i,
@@ -152,6 +152,35 @@ def q_fuzzy_ratio() -> str:
 SELECT doc_id, block_seq, norm, score FROM s WHERE score >= 76"""
 
 
+def q_partial() -> str:
+    """Every window of the longer string, shorter ones at its edges included."""
+    q = "thaner"
+    m = len(q)
+    bits: dict[str, int] = {}
+    for i, c in enumerate(q):
+        bits[c] = bits.get(c, 0) | (1 << i)
+    case = "CASE c " + " ".join(f"WHEN '{c}' THEN {b}" for c, b in bits.items()) + " ELSE 0 END"
+
+    def left(t: str, seed: str) -> str:
+        masks = f"list_transform(string_split({t}, ''), lambda c: CAST(({case}) & {seed} AS BIGINT))"
+        return (f"bit_count(list_reduce(list_concat([CAST({seed} AS BIGINT)], {masks}), "
+                f"lambda v, b: ((v + (v & b)) | (v - (v & b))) & {seed}))")
+
+    def score(lcs: str, total: str) -> str:
+        return (f"CAST(100 AS DOUBLE) * (CAST(1 AS DOUBLE) - CAST({total} - 2 * ({lcs}) AS DOUBLE) / CAST({total} AS DOUBLE))")
+
+    w = f"substr(t, greatest(p, 0) + 1, least(p + {m}, n) - greatest(p, 0))"
+    over_t = score(f"{m} - {left(w, str((1 << m) - 1))}", f"({m} + length({w}))")
+    size = f"(least(p + n, {m}) - greatest(p, 0))"
+    wm = f"CAST((1 << least(p + n, {m})) - (1 << greatest(p, 0)) AS BIGINT)"
+    over_q = score(f"{size} - {left('t', wm)}", f"(n + {size})")
+    return f"""WITH {words()}, w AS (SELECT doc_id, block_seq, text, lower(text) AS t, length(text) AS n FROM wb), s AS (
+  SELECT doc_id, block_seq, text, greatest(
+    CASE WHEN n >= {m} THEN list_max(list_transform(range({1 - m}, n), lambda p: {over_t})) ELSE 0 END,
+    CASE WHEN n <= {m} THEN list_max(list_transform(range(1 - n, {m}), lambda p: {over_q})) ELSE 0 END) AS score FROM w)
+SELECT doc_id, block_seq, text, score FROM s WHERE score >= 80"""
+
+
 def _tokens_cte(src: str, lower: bool = False) -> str:
     """Word tokens of each block with their 0-based position."""
     return f"""

@@ -15,6 +15,7 @@ from .plans import derive
 from .sources import tables
 
 WORD_QUERIES = ["that", "etre", "The and", "thaner", "10"]
+DIGIT_QUERIES = ["1997/05 28", "(0000) 0100", "0000.7919"]
 PHRASES = ["the and", "thaner", "los de", "und der"]
 CONCEPTS = ["policy number", "Order Date", "member name", "signature", "first name"]
 BOX = ["x0", "y0", "x1", "y1"]
@@ -67,8 +68,8 @@ def q_exact_loose(spark, sf):
 
 
 def q_digits(spark, sf):
-    """Order keys as digits inside formatted form values: 8-digit numbers against short queries."""
-    return _hit_view(search.search_digits(_forms(spark, sf), ["98-05", "000 00", "7919"]))
+    """Dates and numbers of the forms, typed with other separators."""
+    return _hit_view(search.search_digits(_forms(spark, sf), DIGIT_QUERIES))
 
 
 def q_cascade(spark, sf):
