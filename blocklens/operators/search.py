@@ -30,7 +30,6 @@ MATCH_RANK = {
     "fuzzy_line_tokens": 9, "fuzzy_block": 10,
 }
 STAGE = {"exact": 1, "exact_loose": 2, "digit_formatted": 3}
-LINE_STAGE, FUZZY_STAGE = 4, 5
 
 
 @dataclass(frozen=True)
