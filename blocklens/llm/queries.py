@@ -5,15 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from blocklens.llm import bpe
 from blocklens.llm.exact_dedup import exact_dedup
 from blocklens.llm.license_scan import license_scan
 from blocklens.llm.line_dedup import line_dedup
+from blocklens.llm.token_counts import token_counts
+
+COUNT_MODEL = "piece_bpe_32k.model"
+BPE_TOKENIZER = "byte_bpe_50k.json"
+TOKEN_LIMIT = 4096
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts(_read(spark, sf_dir, "documents"), tokenizer_file(COUNT_MODEL))
+    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_read(spark, sf_dir, "documents"), tokenizer_file(BPE_TOKENIZER))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"), hash_all=True)
 
