@@ -39,9 +39,9 @@ def surviving_buckets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                       prefix_chars: int = PREFIX_CHARS, buckets: int = BUCKETS) -> DataFrame:
     """Buckets (at most ``buckets`` rows, ``_bucket``) that hold a (length, prefix hash) pair of two rows or more."""
     short = stored(_keys(docs, id_col, text_col, prefix_chars).select("_n", "_p"), "lengths")
-    lengths = short.groupBy("_n").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("_n")
-    pairs = (short.join(lengths, "_n", "left_semi").groupBy("_n", "_p").agg(F.count(F.lit(1)).alias("_c"))
-             .where("_c > 1"))
+    pairs = short.groupBy("_n", "_p").agg(F.count(F.lit(1)).alias("_c"))
+    lengths = pairs.groupBy("_n").agg(F.sum("_c").alias("_rows")).where("_rows > 1").select("_n")
+    pairs = pairs.join(lengths, "_n", "left_semi").where("_c > 1")
     return stored(pairs.select(_bucket(buckets).alias("_bucket")).distinct(), "buckets")
 
 
