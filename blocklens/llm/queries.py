@@ -9,6 +9,7 @@ from blocklens.llm import bpe
 from blocklens.llm.exact_dedup import exact_dedup
 from blocklens.llm.license_scan import license_scan
 from blocklens.llm.line_dedup import line_dedup
+from blocklens.llm.near_dedup import near_dedup
 from blocklens.llm.token_counts import token_counts
 
 COUNT_MODEL = "piece_bpe_32k.model"
@@ -35,6 +36,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_read(spark, sf_dir, "documents"), tokenizer_file(BPE_TOKENIZER))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(_read(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"), hash_all=True)
 
