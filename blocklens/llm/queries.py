@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blocklens.llm import bpe
+from blocklens.llm.embedding_dedup import embedding_dedup
 from blocklens.llm.exact_dedup import exact_dedup
 from blocklens.llm.license_scan import license_scan
 from blocklens.llm.line_dedup import line_dedup
@@ -32,6 +33,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(_read(spark, sf_dir, "embeddings"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_read(spark, sf_dir, "documents"), tokenizer_file(BPE_TOKENIZER))
 
