@@ -10,7 +10,9 @@ from blocklens.llm.embedding_dedup import embedding_dedup
 from blocklens.llm.exact_dedup import exact_dedup
 from blocklens.llm.license_scan import license_scan
 from blocklens.llm.line_dedup import line_dedup
+from blocklens.llm.mixing import mix
 from blocklens.llm.near_dedup import near_dedup
+from blocklens.llm.quality import quality
 from blocklens.llm.token_counts import token_counts
 
 COUNT_MODEL = "piece_bpe_32k.model"
@@ -37,6 +39,14 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(_read(spark, sf_dir, "embeddings"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_read(spark, sf_dir, "documents")).drop("_row")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_read(spark, sf_dir, "documents"), tokenizer_file(BPE_TOKENIZER))
 
