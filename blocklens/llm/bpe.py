@@ -58,24 +58,40 @@ def _encoder(tokenizer_path: str):
     return encode
 
 
+class _Words:
+    """Codes of a block's words by word number, laid out along a sequence of numbers."""
+
+    def __init__(self, codes: list[bytes], pieces: list[bytes]):
+        self.flat = np.frombuffer(b"".join(codes), np.uint32).astype(np.int32)
+        self.count = np.array([len(c) // 4 for c in codes], np.int64)
+        self.start = np.cumsum(self.count) - self.count
+        ids = self.flat.tolist()
+        spans = list(zip(self.start.tolist(), (self.start + self.count).tolist()))
+        self.decimal = [",".join(map(str, ids[a:b])) for a, b in spans]
+        self.piece = [b"".join([pieces[i] for i in ids[a:b]]) for a, b in spans]
+
+    def ids(self, seq: np.ndarray) -> np.ndarray:
+        n = self.count[seq]
+        ends = np.cumsum(n)
+        return self.flat[np.repeat(self.start[seq] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def decimals(self, seq: np.ndarray) -> bytes:
+        return ",".join([self.decimal[w] for w in seq.tolist()]).encode()
+
+    def text(self, seq: np.ndarray) -> str:
+        return b"".join([self.piece[w] for w in seq.tolist()]).decode(errors="replace")
+
+
 def _laid_out(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, block_chars: int, row, schema: str):
-    """``row(ids as decimal strings, bytes, number of ids)`` of each document's words, by word number."""
+    """``row(words, seq)`` for each document, ``seq`` being its word numbers."""
     pieces = docs.sparkSession.sparkContext.broadcast(id_to_piece(tokenizer_path))
     blocks = wordblocks.word_blocks(docs, id_col, text_col, inner_prefix=" ", block_chars=block_chars)
 
     def finish(head, codes: list[bytes]) -> pd.DataFrame:
-        table = pieces.value
-        ids = [np.frombuffer(c, np.uint32).tolist() for c in codes]
-        decimal = [",".join(map(str, x)) for x in ids]
-        decoded = [b"".join([table[i] for i in x]) for x in ids]
-        count = np.array([len(x) for x in ids], np.int64)
-        seqs = np.split(np.frombuffer(wordblocks.zstandard.decompress(head.data), np.uint32), np.cumsum(head.lens)[:-1])
-        rows = []
-        for seq in seqs:
-            words = seq.tolist()
-            rows.append(row([decimal[w] for w in words], b"".join([decoded[w] for w in words]),
-                            int(count[seq].sum()) if words else 0))
-        out = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+        words = _Words(codes, pieces.value)
+        seqs = np.split(np.frombuffer(wordblocks.zstandard.decompress(head.data), np.uint32).astype(np.int64),
+                        np.cumsum(head.lens)[:-1])
+        out = pd.DataFrame([row(words, seq) for seq in seqs], columns=[c.split()[0] for c in schema.split(", ")])
         out.insert(0, "_id", pd.array(head.ids, dtype="Int64"))
         return out
 
@@ -91,18 +107,16 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     As the tokenizers library encodes the whole text without special tokens added, truncation or padding; special
     strings inside a text become their id. Null counts as empty: no ids, empty text. Rows that repeat an id, or have
     none, are encoded like others. Other columns are ignored; an empty table gives an empty result."""
-    def row(decimal, decoded, _):
-        return ([int(i) for i in ",".join(decimal).split(",")] if decimal else [], decoded.decode(errors="replace"))
-
-    return _laid_out(docs, tokenizer_path, id_col, text_col, block_chars, row, "ids array<int>, decoded string")
+    return _laid_out(docs, tokenizer_path, id_col, text_col, block_chars,
+                     lambda words, seq: (words.ids(seq), words.text(seq)), "ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *,
             block_chars: int = wordblocks.BLOCK_CHARS) -> DataFrame:
     """``id_col, n_tokens, ids_sha256, decoded_sha256``: what :func:`encode` gives, hashed where it arises."""
-    def row(decimal, decoded, n):
-        return (n, hashlib.sha256(",".join(decimal).encode()).hexdigest(),
-                hashlib.sha256(decoded.decode(errors="replace").encode()).hexdigest())
+    def row(words: _Words, seq: np.ndarray):
+        return (int(words.count[seq].sum()), hashlib.sha256(words.decimals(seq)).hexdigest(),
+                hashlib.sha256(words.text(seq).encode()).hexdigest())
 
     return _laid_out(docs, tokenizer_path, id_col, text_col, block_chars, row,
                      "n_tokens bigint, ids_sha256 string, decoded_sha256 string")

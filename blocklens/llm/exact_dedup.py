@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blocklens.llm.common import stored, utf8_text
+from blocklens.llm.common import row_key, stored, utf8_text
 
 PREFIX_CHARS = 256
 BUCKETS = 1 << 16
@@ -25,9 +25,10 @@ def normalised(text_col: str) -> Column:
 
 
 def _keys(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int) -> DataFrame:
-    """``_id, _body, _n, _p``: nothing of the caller's other columns, so none can clash."""
-    body = docs.select(F.col(id_col).alias("_id"), normalised(text_col).alias("_body"))
-    return body.select("_id", "_body", F.octet_length("_body").alias("_n"),
+    """``_id, _row, _body, _n, _p``: nothing of the caller's other columns, so none can clash."""
+    body = docs.select(F.col(id_col).alias("_id"), row_key(id_col, text_col).alias("_row"),
+                       normalised(text_col).alias("_body"))
+    return body.select("_id", "_row", "_body", F.octet_length("_body").alias("_n"),
                        F.xxhash64(F.substring("_body", 1, prefix_chars)).alias("_p"))
 
 
@@ -46,8 +47,9 @@ def surviving_buckets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
-                prefix_chars: int = PREFIX_CHARS, buckets: int = BUCKETS, hash_all: bool = False) -> DataFrame:
-    """``id_col, keep_id, group_size, kept`` (and ``text_sha256`` with ``hash_all``), one row for each row of ``docs``.
+                prefix_chars: int = PREFIX_CHARS, buckets: int = BUCKETS, hash_all: bool = False,
+                keys: bool = False) -> DataFrame:
+    """``id_col, keep_id, group_size, kept`` (``text_sha256`` with ``hash_all``, ``_row`` with ``keys``), one row for each row of ``docs``.
 
     Null and empty texts are equal. The smallest id of a group stays; rows that repeat that id in the group all stay
     (an id names a document). A null id never wins over another; a group of null ids alone keeps its rows, with a
@@ -56,7 +58,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = (_keys(docs, id_col, text_col, prefix_chars).withColumn("_bucket", _bucket(buckets))
             .join(F.broadcast(flags.withColumn("_open", F.lit(True))), "_bucket", "left"))
     full = F.sha2("_body", 256)
-    rows = rows.select("_id", "_n", "_p", "_open",
+    rows = rows.select("_id", "_row", "_n", "_p", "_open",
                        (full if hash_all else F.when(F.col("_open"), full)).alias("_sha"))
     rows = stored(rows, "hashes")
     groups = (rows.where("_open").groupBy("_n", "_p", "_sha")
@@ -67,4 +69,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns = [F.col("_id").alias(id_col), keep.alias("keep_id"),
                F.coalesce("_size", F.lit(1)).cast("bigint").alias("group_size"),
                F.col("_id").eqNullSafe(keep).alias("kept")]
-    return out.select(*columns, *([F.col("_sha").alias("text_sha256")] if hash_all else []))
+    return out.select(*columns, *([F.col("_sha").alias("text_sha256")] if hash_all else []),
+                      *(["_row"] if keys else []))

@@ -141,11 +141,12 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: str
                        "phase", slot.cast("bigint").alias("slot"), F.col("_start").alias("source_byte"), "_row")
 
 
-def in_order(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def in_order(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             source_col: str = "source") -> DataFrame:
     """``docs`` in the order of the mixture, range-partitioned; its columns unchanged."""
-    at = mixed.select(F.col(id_col).alias("_mixed_id"), "_row", F.col("slot").alias("_slot"),
-                      F.col("source_byte").alias("_byte"))
-    rows = docs.withColumn("_key", row_key(id_col, text_col))
-    on: Column = (F.col("_key") == F.col("_row")) & F.col(id_col).eqNullSafe(F.col("_mixed_id"))
-    rows = rows.join(at, on).repartitionByRange("_slot", "_byte").sortWithinPartitions("_slot", "_byte")
+    at = mixed.select(F.col(id_col).alias("_mixed_id"), "_row", F.col(source_col).alias("_mixed_source"),
+                      F.col("slot").alias("_slot"), F.col("source_byte").alias("_byte"))
+    on: Column = ((row_key(id_col, text_col) == F.col("_row")) & F.col(id_col).eqNullSafe(F.col("_mixed_id"))
+                  & (F.coalesce(F.col(source_col).cast("string"), F.lit("")) == F.col("_mixed_source")))
+    rows = docs.join(at, on).repartitionByRange("_slot", "_byte").sortWithinPartitions("_slot", "_byte")
     return rows.select(*docs.columns)

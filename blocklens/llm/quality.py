@@ -184,8 +184,9 @@ def fit_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     return fit(np.stack(sample["x"])[order], (sample["label"].to_numpy() > 0).astype(float)[order])
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score`` (0 to 1, higher for good texts) and ``predicted`` (1 from 0.5 on) in place of any
+def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score",
+          predicted_col: str = "predicted") -> DataFrame:
+    """``docs`` with the score (0 to 1, higher for good texts) and the prediction (1 from 0.5 on), in place of any
     columns of these names. Null texts count as empty; empty ones are scored like others."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -194,8 +195,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         return pd.Series(shared.value.score(np.array([features(t) for t in texts], np.float64)
                                             .reshape(len(texts), len(FEATURES))))
 
-    return docs.withColumn("score", scored(F.col(text_col).cast("string"))).withColumn(
-        "predicted", (F.col("score") >= 0.5).cast("int"))
+    return docs.withColumn(score_col, scored(F.col(text_col).cast("string"))).withColumn(
+        predicted_col, (F.col(score_col) >= 0.5).cast("int"))
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from blocklens.llm.common import stored
 
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 32_000_000
 #: Only such a space parts two words; U+2581 stands for a space in one of the tokenizers.
 BETWEEN = re.compile("(?<=[^\\s▁]) (?=\\S)")
 _ASCII_BLANKS = "\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
