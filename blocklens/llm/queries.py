@@ -13,6 +13,7 @@ from blocklens.llm.line_dedup import line_dedup
 from blocklens.llm.mixing import mix
 from blocklens.llm.near_dedup import near_dedup
 from blocklens.llm.quality import quality
+from blocklens.llm.substring_dedup import substring_dedup
 from blocklens.llm.token_counts import token_counts
 
 COUNT_MODEL = "piece_bpe_32k.model"
@@ -39,6 +40,13 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(_read(spark, sf_dir, "embeddings"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup(_read(spark, sf_dir, "documents"))
+    gone = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, s: n + s["hi"] - s["lo"])
+    return cut.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"),
+                      "kept_sha256")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents")).drop("_row")
 
