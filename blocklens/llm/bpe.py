@@ -89,8 +89,7 @@ def _laid_out(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str,
 
     def finish(head, codes: list[bytes]) -> pd.DataFrame:
         words = _Words(codes, pieces.value)
-        seqs = np.split(np.frombuffer(wordblocks.zstandard.decompress(head.data), np.uint32).astype(np.int64),
-                        np.cumsum(head.lens)[:-1])
+        seqs = np.split(wordblocks.unpack_ints(head.data), np.cumsum(head.lens)[:-1])
         out = pd.DataFrame([row(words, seq) for seq in seqs], columns=[c.split()[0] for c in schema.split(", ")])
         out.insert(0, "_id", pd.array(head.ids, dtype="Int64"))
         return out

@@ -44,11 +44,11 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
     def finish(head, codes: list[bytes]) -> pd.DataFrame:
         pieces = np.frombuffer(b"".join(codes), np.uint32).astype(np.int64)
-        data = np.frombuffer(wordblocks.zstandard.decompress(head.data), np.uint32)
+        data = wordblocks.unpack_ints(head.data)
         totals, at = [], 0
         for n in head.lens.tolist():
-            words = np.cumsum(data[at:at + n], dtype=np.int64)
-            totals.append(int(pieces[words] @ data[at + n:at + 2 * n].astype(np.int64)))
+            words = np.cumsum(data[at:at + n])
+            totals.append(int(pieces[words] @ data[at + n:at + 2 * n]))
             at += 2 * n
         return pd.DataFrame({"_id": pd.array(head.ids, dtype="Int64"), "n_bytes": head.sizes, "n_tokens": totals})
 

@@ -4,7 +4,8 @@ Texts are split at single spaces between two characters that are no blanks: plac
 crosses. A task gathers whole texts into blocks of about ``BLOCK_CHARS`` characters. Of a block only its distinct
 words travel, packed by a hash of the word into parts, so that all blocks' shares of a part meet in one task, where
 each distinct word is encoded exactly once. A very frequent word costs one entry a block, not one an occurrence. The
-codes return to their block, whose rows hold the word numbers of every document.
+codes return to their block, whose row holds the word numbers of every document; blocks are stored in buckets, so that
+only the codes are moved to meet them.
 
 Blocks are bounded by their characters (one longer text is a block of its own), a part by the number of parts, which
 follows ``spark.sql.shuffle.partitions``."""
@@ -12,6 +13,7 @@ follows ``spark.sql.shuffle.partitions``."""
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,16 +25,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blocklens.llm.common import stored
+from blocklens.llm.common import shared_folder
 
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 16_000_000
 #: Only such a space parts two words; U+2581 stands for a space in one of the tokenizers.
 BETWEEN = re.compile("(?<=[^\\s▁]) (?=\\S)")
 _ASCII_BLANKS = "\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _OTHER_BLANKS = "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
 BLOCK_SCHEMA = ("kind string, block bigint, part int, ids array<bigint>, sizes array<bigint>, lens array<int>, "
-                "n_words int, data binary")
+                "n_words int, data binary, parts binary")
 
 
 def _only_parting_spaces(text: str) -> bool:
@@ -57,49 +59,60 @@ class _Numbers(dict):
         return n
 
 
+def pack_ints(values: np.ndarray) -> bytes:
+    """Numbers below 2^32, byte plane by byte plane: the high planes are nearly empty."""
+    return zstandard.compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def unpack_ints(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
 def pack(words: list[bytes]) -> bytes:
-    lens = np.array([len(w) for w in words], np.uint32)
-    return zstandard.compress(lens.tobytes() + b"".join(words), 1)
+    lens = np.array([len(w) for w in words], "<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.compress(np.ascontiguousarray(lens).tobytes() + b"".join(words), 3)
 
 
 def unpack(data: bytes, n: int) -> list[bytes]:
     raw = zstandard.decompress(data)
-    ends = (np.cumsum(np.frombuffer(raw, np.uint32, n), dtype=np.int64) + 4 * n).tolist()
+    lens = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n).reshape(4, n).T).view("<u4").ravel()
+    ends = (np.cumsum(lens, dtype=np.int64) + 4 * n).tolist()
     return [raw[a:b] for a, b in zip([4 * n, *ends[:-1]], ends)]
 
 
 def _block(number: int, docs: list[tuple[int | None, int, list[int]]], words: list[str], parts: int,
            summed: bool) -> dict:
-    """Columns of one block: a ``docs`` row, and a ``words`` row for each part."""
-    coded = [w.encode() for w in words]
+    """Columns of one block: a ``docs`` row, and a ``words`` row for each part. Words are numbered by frequency."""
+    lens = [len(seq) for _, _, seq in docs]
+    flat = np.concatenate([np.array(seq, np.int64) for _, _, seq in docs])
+    order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+    number_of = np.empty(len(order), np.int64)
+    number_of[order] = np.arange(len(order))
+    coded = [words[i].encode() for i in order.tolist()]
     part = np.array([xxhash.xxh64_intdigest(w) % parts for w in coded], np.int64)
-    order = np.argsort(part, kind="stable")
-    rank = np.empty(len(order), np.uint32)
-    rank[order] = np.arange(len(order), dtype=np.uint32)
-    lens, seqs = [], []
-    for _, _, seq in docs:
-        own = rank[np.array(seq, np.int64)] if seq else np.zeros(0, np.uint32)
-        if summed:  # (word, frequency) pairs, the words by ascending distance
-            own, freq = np.unique(own, return_counts=True)
-            lens.append(len(own))
-            seqs.append(np.concatenate([np.diff(own, prepend=0).astype(np.uint32), freq.astype(np.uint32)]))
-        else:
-            lens.append(len(own))
-            seqs.append(own)
-    data = np.concatenate(seqs) if seqs else np.zeros(0, np.uint32)
-    rows = [("docs", number, -1, [d[0] for d in docs], [d[1] for d in docs], lens, len(words),
-             zstandard.compress(data.tobytes(), 1))]
-    bounds = np.flatnonzero(np.diff(part[order], prepend=-1, append=parts)).tolist()
+    flat = number_of[flat]
+    if summed:  # (word, frequency) pairs, the words by ascending distance
+        seqs, at = [], 0
+        for k, n in enumerate(lens):
+            own, freq = np.unique(flat[at:at + n], return_counts=True)
+            seqs += [np.diff(own, prepend=0), freq]
+            at, lens[k] = at + n, len(own)
+        flat = np.concatenate(seqs)
+    rows = [("docs", number, -1, [d[0] for d in docs], [d[1] for d in docs], lens, len(words), pack_ints(flat),
+             pack_ints(part))]
+    by_part = np.argsort(part, kind="stable")
+    bounds = np.flatnonzero(np.diff(part[by_part], prepend=-1, append=parts)).tolist()
     for a, b in zip(bounds, bounds[1:]):
-        chosen = order[a:b].tolist()
-        rows.append(("words", number, int(part[chosen[0]]), None, None, None, b - a,
-                     pack([coded[i] for i in chosen])))
+        chosen = by_part[a:b].tolist()
+        rows.append(("words", number, int(part[chosen[0]]), None, None, None, b - a, pack([coded[i] for i in chosen]),
+                     None))
     return dict(zip((c.split()[0] for c in BLOCK_SCHEMA.split(", ")), zip(*rows)))
 
 
 _ARROW = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("part", pa.int32()), ("ids", pa.list_(pa.int64())),
                     ("sizes", pa.list_(pa.int64())), ("lens", pa.list_(pa.int32())), ("n_words", pa.int32()),
-                    ("data", pa.binary())])
+                    ("data", pa.binary()), ("parts", pa.binary())])
 
 
 def _gather(inner_prefix: str, parts: int, block_chars: int, summed: bool):
@@ -140,7 +153,10 @@ def word_blocks(docs: DataFrame, id_col: str, text_col: str, *, inner_prefix: st
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return stored(rows.mapInArrow(_gather(inner_prefix, parts, block_chars, summed), BLOCK_SCHEMA), "blocks", "kind")
+    name = f"blocks_{uuid.uuid4().hex}"
+    (rows.mapInArrow(_gather(inner_prefix, parts, block_chars, summed), BLOCK_SCHEMA).write.bucketBy(parts, "block")
+     .option("path", f"{shared_folder(spark)}/{name}").option("compression", "zstd").saveAsTable(name))
+    return spark.table(name)
 
 
 CODE_SCHEMA = "block bigint, part int, n_words int, data binary"
@@ -170,11 +186,14 @@ def coded_words(blocks: DataFrame, encode: Callable[[], Callable[[list[str]], li
 def finish_blocks(blocks: DataFrame, codes: DataFrame, finish: Callable[[tuple, list[bytes]], pd.DataFrame],
                   schema: str) -> DataFrame:
     """``finish(docs row, codes by word number)`` for every block, each a group of a bounded size."""
-    docs = blocks.where("kind = 'docs'").select("block", "part", "n_words", "data", "ids", "sizes", "lens")
-    rows = docs.unionByName(codes, allowMissingColumns=True)
+    docs = blocks.where("kind = 'docs'").select("block", "ids", "sizes", "lens", "data", "parts")
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        head, *rest = group.sort_values("part").itertuples(index=False)
-        return finish(head, [code for row in rest for code in unpack(row.data, row.n_words)])
+    def run(docs_rows: pd.DataFrame, code_rows: pd.DataFrame) -> pd.DataFrame:
+        head = next(docs_rows.itertuples(index=False))
+        by_part = [c for row in code_rows.sort_values("part").itertuples(index=False) for c in unpack(row.data, row.n_words)]
+        codes_of = [b""] * len(by_part)
+        for number, code in zip(np.argsort(unpack_ints(head.parts), kind="stable").tolist(), by_part):
+            codes_of[number] = code
+        return finish(head, codes_of)
 
-    return rows.groupBy("block").applyInPandas(run, schema)
+    return docs.groupBy("block").cogroup(codes.groupBy("block")).applyInPandas(run, schema)
