@@ -86,7 +86,8 @@ def dropped_lines(lines: DataFrame, *, min_docs: int = MIN_DOCS, batches: int =
     often = stored(per_doc.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_docs"))
                    .where(F.col("_docs") >= min_docs).select("_h1", "_h2"), "often")
     held = stored(lines.join(often, ["_h1", "_h2"], "left_semi"), "held")
-    cuts = held.approxQuantile("_id", [i / batches for i in range(1, batches)], 0.01) if not held.isEmpty() else []
+    parts = [i / batches for i in range(1, batches)]
+    cuts = held.approxQuantile("_id", parts, 0.01) if parts and not held.isEmpty() else []
     bounds = sorted(set(cuts), reverse=True)
     runs = LineRuns(fanout)
     for i in range(len(bounds) + 1):

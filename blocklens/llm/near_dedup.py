@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from blocklens.llm.common import components, stored
 
@@ -137,7 +138,7 @@ def _similar(shared: Column, a: Column, b: Column, percent: int) -> Column:
     return (100 + percent) * shared >= percent * (a + b)
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def _most_shared(low_a: pd.Series, low_b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
     """Upper bound of the intersection, from the values up to the end of the shorter-reaching sketch."""
     out = []
@@ -148,7 +149,7 @@ def _most_shared(low_a: pd.Series, low_b: pd.Series, n_a: pd.Series, n_b: pd.Ser
     return pd.Series(out, dtype="int64")
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def _shared(full_a: pd.Series, full_b: pd.Series) -> pd.Series:
     return pd.Series([len(np.intersect1d(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), assume_unique=True))
                       for a, b in zip(full_a, full_b)], dtype="int64")
