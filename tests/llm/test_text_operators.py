@@ -94,7 +94,7 @@ def test_license_scan(spark, odd_docs, no_docs):
              (2, "This work is licensed under the (modified) GNU General Public License, version 3."), (3, None),
              (3, "cc cc by by"), (None, "CC-BY"), (4, "all rights\nreserved " * 500), (5, "licensed under the gnu general")]
     got = {(r[0], r[1]): tuple(r[2:]) for r in license_scan(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
-    assert got[0, 12] == (3, 2, 9, "cc-by,reserved", "cc-by,cc-by-nc-4-notice,reserved", 1.0)
+    assert got[0, 13] == (3, 2, 10, "cc-by,reserved", "cc-by,cc-by-nc-4-notice,reserved", 1.0)
     assert got[1, 3] == (0, None, None, "", "", 0.5)
     assert got[2, 13][:4] == (1, 8, 8, "gpl") and got[2, 13][4] == "gpl,gpl-3-notice"  # a word is added inside
     assert got[3, 0] == (0, None, None, "", "", 0.0) and got[3, 4][:3] == (1, 1, 1) and got[None, 2][:3] == (1, 0, 0)
