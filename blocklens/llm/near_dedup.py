@@ -29,7 +29,7 @@ from blocklens.llm.common import components, stored
 
 WORDS = 5
 PERCENT = 80
-FREQUENT = 1 << 16
+FREQUENT = 1 << 18
 #: Values are looked for that this many texts of a chunk hold; chunks are of this many characters.
 FREQUENT_FROM, CHUNK_CHARS = 3, 8_000_000
 _LAST = np.uint64(1 << 62)
@@ -155,24 +155,32 @@ def _shared(full_a: pd.Series, full_b: pd.Series) -> pd.Series:
                       for a, b in zip(full_a, full_b)], dtype="int64")
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links."""
+def _within_bound(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches allow a link, with both sizes."""
     side = lambda s: sketches.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("low").alias(f"low_{s}"))
     bound = _most_shared("low_a", "low_b", "n_a", "n_b")
-    open_ = stored(pairs.join(side("a"), "a").join(side("b"), "b")
-                   .where(_similar(bound, F.col("n_a"), F.col("n_b"), percent))
-                   .select("a", "b", "n_a", "n_b").distinct(), "pairs")
-    wanted = open_.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = docs.join(wanted, "id", "left_semi").mapInArrow(_full_sets(words), "id bigint, full binary")
-    sets = stored(sets, "sets")
+    return stored(pairs.join(side("a"), "a").join(side("b"), "b")
+                  .where(_similar(bound, F.col("n_a"), F.col("n_b"), percent))
+                  .select("a", "b", "n_a", "n_b").distinct(), "pairs")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b, n_a, n_b) that are links by their full sets."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = stored(docs.join(wanted, "id", "left_semi").mapInArrow(_full_sets(words), "id bigint, full binary"), "sets")
     full = lambda s: sets.select(F.col("id").alias(s), F.col("full").alias(f"full_{s}"))
-    both = open_.join(full("a"), "a").join(full("b"), "b")
+    both = pairs.join(full("a"), "a").join(full("b"), "b")
     return stored(both.where(_similar(_shared("full_a", "full_b"), F.col("n_a"), F.col("n_b"), percent))
                   .select("a", "b").distinct(), "links")
 
 
-def _size_bound(a: str, b: str, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _may_link(percent: int, other: str) -> Column:
+    """Whether two members of a list may link: their sizes fit, and the value is among those that the smaller one
+    must share with a larger one (for both, if they are equal)."""
+    n, m = F.col("n"), F.col(f"{other}n")
+    fits = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    return (fits & (n <= F.col(f"{other}most")) & (m <= F.col("most")) & (F.col("early") | (n > m))
+            & (F.col(f"{other}early") | (m > n)))
 
 
 def near_links(docs: DataFrame, words: int, percent: int, frequent: int) -> tuple[DataFrame, DataFrame]:
@@ -191,28 +199,42 @@ def near_links(docs: DataFrame, words: int, percent: int, frequent: int) -> tupl
                                "id bigint, n bigint, rare bigint, low array<bigint>").where("n > 0")
     sketches = stored(sketches.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "sketches")
 
-    posts = sketches.select("id", "n", "rare", F.explode("low").alias("v"))
-    lists = (posts.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rare", "id", "n")).alias("p"))
-             .where("c > 1").select("v", "c", F.col("p.id").alias("pivot"), F.col("p.n").alias("n_pivot")))
+    # With a set of its size or more a set must share one of its lowest n - ceil(2t / (1 + t) n) + 1 values.
+    near = F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent)) + 1
+    posts = sketches.select("id", "n", "rare", F.posexplode("low").alias("at", "v")).select(
+        "id", "n", "rare", "v", (F.col("at") < near).alias("early"))
+    lists = posts.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    posts = stored(posts.join(lists, "v"), "shared")
+    # A sketch with a frequent value holds all rarer values of its set. Those on no other list are in no other such
+    # set: they bound the size of a partner met on a frequent list, and sets that leave no size at all leave.
+    alone = posts.groupBy("id").agg(F.first("n").alias("n"), F.first("rare").alias("rare"),
+                                    F.count_if(F.col("v") < int(_LAST)).alias("met"))
+    most = F.floor((F.col("n") - F.col("rare") + F.col("met")) * (100 + percent) / percent) - F.col("n")
+    alone = alone.select("id", most.alias("most")).where(F.col("most") * 100 >= F.col("n") * percent)
+    common = posts.where(F.col("v") >= int(_LAST)).join(alone, "id")
+    free = F.lit(1 << 40).cast("bigint")
+    posts = posts.where(F.col("v") < int(_LAST)).withColumn("most", free).unionByName(common.select(*posts.columns, "most"))
+    posts = posts.drop("c")
+    lists = (posts.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.count_if("early").alias("e"),
+                                    F.min(F.struct("rare", "id", "n", "early", "most")).alias("p"))
+             .where("c > 1 AND e > 0"))
     posts = stored(posts.join(lists, "v"), "lists")
-    stars = (posts.where("id <> pivot").where(_size_bound("n", "n_pivot", percent))
-             .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct())
-    links = _verified(stars, sketches, docs, words, percent)
+    stars = (posts.where("id <> p.id").where(_may_link(percent, "p."))
+             .select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct())
+    links = _verified(_within_bound(stars, sketches, percent), docs, words, percent)
     roots = components(links)
 
-    placed = posts.where("c > 2").select("v", "id", "n").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    placed = posts.where("c > 2").select("v", "id", "n", "most", "early").join(roots.withColumnRenamed("node", "id"), "id", "left")
     placed = stored(placed.withColumn("root", F.coalesce("root", "id")), "placed")
     sizes = placed.groupBy("v", "root").agg(F.count(F.lit(1)).alias("m"))
     main = (sizes.groupBy("v").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("m", "root")).alias("main"))
             .where("roots > 1").select("v", "main"))
     placed = stored(placed.join(main, "v"), "open")
-    outer = placed.where("root <> main").select("v", F.col("id").alias("x"), F.col("n").alias("n_x"),
-                                                F.col("root").alias("root_x"))
-    rest = (outer.join(placed, "v").where("root_x <> root AND (root = main OR x < id)")
-            .where(_size_bound("n", "n_x", percent))
-            .select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
-            .join(stars, ["a", "b"], "left_anti"))
-    more = _verified(rest, sketches, docs, words, percent)
+    outer = placed.where("root <> main").select("v", F.struct("id", "n", "most", "early", "root").alias("x"))
+    rest = (outer.join(placed, "v").where("x.root <> root AND (root = main OR x.id < id)")
+            .where(_may_link(percent, "x."))
+            .select(F.least("id", "x.id").alias("a"), F.greatest("id", "x.id").alias("b")).distinct())
+    more = _verified(_within_bound(rest, sketches, percent), docs, words, percent)
     if not more.isEmpty():
         roots = components(links.union(more))
     return rows, classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
