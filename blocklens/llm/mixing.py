@@ -144,9 +144,9 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: str
 def in_order(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              source_col: str = "source") -> DataFrame:
     """``docs`` in the order of the mixture, range-partitioned; its columns unchanged."""
-    at = mixed.select(F.col(id_col).alias("_mixed_id"), "_row", F.col(source_col).alias("_mixed_source"),
-                      F.col("slot").alias("_slot"), F.col("source_byte").alias("_byte"))
-    on: Column = ((row_key(id_col, text_col) == F.col("_row")) & F.col(id_col).eqNullSafe(F.col("_mixed_id"))
-                  & (F.coalesce(F.col(source_col).cast("string"), F.lit("")) == F.col("_mixed_source")))
-    rows = docs.join(at, on).repartitionByRange("_slot", "_byte").sortWithinPartitions("_slot", "_byte")
-    return rows.select(*docs.columns)
+    rows, at = docs.alias("docs"), mixed.alias("mixed")  # names of ``docs`` may be those of ``mixed``
+    on: Column = ((row_key(f"docs.{id_col}", f"docs.{text_col}") == F.col("mixed._row"))
+                  & F.col(f"docs.{id_col}").eqNullSafe(F.col(f"mixed.{id_col}"))
+                  & (F.coalesce(F.col(f"docs.{source_col}").cast("string"), F.lit("")) == F.col(f"mixed.{source_col}")))
+    order = [F.col("mixed.slot"), F.col("mixed.source_byte")]
+    return rows.join(at, on).repartitionByRange(*order).sortWithinPartitions(*order).select("docs.*")
