@@ -16,22 +16,23 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the classifier accepts (score of 0.5 or more)."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit_model(docs, labels)
-    scored = quality.score(docs, model, score_col="_score", predicted_col="_predicted")
-    return scored.where("_predicted = 1").select(*docs.columns)
+    own = {c: f"_quality_{uuid.uuid4().hex}" for c in ("score", "predicted")}  # no name of docs
+    scored = quality.score(docs, model, score_col=own["score"], predicted_col=own["predicted"])
+    return scored.where(F.col(own["predicted"]) == 1).select(*docs.columns)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest id."""
     marks = exact_dedup.exact_dedup(docs, keys=True).where("NOT kept")
-    gone = marks.select(F.col("doc_id").alias("_gone_id"), F.col("_row").alias("_gone_row"))
-    return docs.join(gone, (row_key("doc_id", "text") == F.col("_gone_row"))
-                     & F.col("doc_id").eqNullSafe(F.col("_gone_id")), "left_anti")
+    on = ((row_key("docs.doc_id", "docs.text") == F.col("gone._row"))
+          & F.col("docs.doc_id").eqNullSafe(F.col("gone.doc_id")))
+    return docs.alias("docs").join(marks.select("doc_id", "_row").distinct().alias("gone"), on, "left_anti")
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group with linked shingle sets: five words, similarity 0.8."""
-    gone = near_dedup.near_dedup(docs).where("NOT kept").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone_id"), "left_anti")
+    gone = near_dedup.near_dedup(docs).where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
