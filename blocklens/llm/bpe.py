@@ -8,6 +8,7 @@ out in the same way."""
 from __future__ import annotations
 
 import hashlib
+import os
 
 import numpy as np
 import pandas as pd
@@ -40,6 +41,7 @@ def id_to_piece(tokenizer_path: str) -> list[bytes]:
 
 def _encoder(tokenizer_path: str):
     def encode():
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would keep memory of their own
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(tokenizer_path)
@@ -48,9 +50,9 @@ def _encoder(tokenizer_path: str):
 
         def run(words: list[str]) -> list[bytes]:
             out = []
-            for at in range(0, len(words), 20_000):
+            for at in range(0, len(words), 2_000):
                 out += [np.array(e.ids, np.uint32).tobytes()
-                        for e in tok.encode_batch(words[at:at + 20_000], add_special_tokens=False)]
+                        for e in tok.encode_batch_fast(words[at:at + 2_000], add_special_tokens=False)]
             return out
 
         return run

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from blocklens.llm.common import shared_folder
 
 BLOCK_CHARS = 16_000_000
+#: Rows turned into Python objects at once.
+ROWS = 256
 #: Only such a space parts two words; U+2581 stands for a space in one of the tokenizers.
 BETWEEN = re.compile("(?<=[^\\s▁]) (?=\\S)")
 _ASCII_BLANKS = "\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
@@ -81,14 +83,14 @@ def unpack(data: bytes, n: int) -> list[bytes]:
     return [raw[a:b] for a, b in zip([4 * n, *ends[:-1]], ends)]
 
 
-def _block(number: int, docs: list[tuple[int | None, int, list[int]]], words: list[str], parts: int,
+def _block(number: int, docs: list[tuple[int | None, int, np.ndarray]], words: list[str], parts: int,
            summed: bool) -> dict:
     """Columns of one block: a ``docs`` row, and a ``words`` row for each part. Words are numbered by frequency."""
     lens = [len(seq) for _, _, seq in docs]
-    flat = np.concatenate([np.array(seq, np.int64) for _, _, seq in docs])
+    flat = np.concatenate([seq for _, _, seq in docs])
     order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
-    number_of = np.empty(len(order), np.int64)
-    number_of[order] = np.arange(len(order))
+    number_of = np.empty(len(order), np.int32)
+    number_of[order] = np.arange(len(order), dtype=np.int32)
     coded = [words[i].encode() for i in order.tolist()]
     part = np.array([xxhash.xxh64_intdigest(w) % parts for w in coded], np.int64)
     flat = number_of[flat]
@@ -122,24 +124,26 @@ def _gather(inner_prefix: str, parts: int, block_chars: int, summed: bool):
 
         def flush():
             words = [inner_prefix + w for w in inner] + list(first)
-            shift = len(inner)
-            rows = [(i, n, [s + shift if k == 0 and inner_prefix else s for k, s in enumerate(seq[:1])] + seq[1:])
-                    for i, n, seq in docs]
-            return pa.RecordBatch.from_pydict(_block((task << 32) | made, rows, words, parts, summed), schema=_ARROW)
-
-        for batch in batches:
+            if inner_prefix:
+                for _, _, seq in docs:
+                    seq[:1] += len(inner)
+            inner.clear()
+            first.clear()
+            return pa.RecordBatch.from_pydict(_block((task << 32) | made, docs, words, parts, summed), schema=_ARROW)
+
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 text = text or ""
                 words = split_words(text)
                 seq = list(map(inner.__getitem__, words[1:] if inner_prefix else words))
                 if inner_prefix and words:
                     seq.insert(0, first[words[0]])
-                docs.append((doc_id, len(text) if text.isascii() else len(text.encode()), seq))
+                docs.append((doc_id, len(text) if text.isascii() else len(text.encode()), np.array(seq, np.int32)))
                 chars += len(text)
                 if chars >= block_chars:
                     yield flush()
                     made += 1
-                    inner, first, docs, chars = _Numbers(), _Numbers(), [], 0
+                    docs, chars = [], 0
         if docs:
             yield flush()
 
