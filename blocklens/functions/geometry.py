@@ -153,10 +153,6 @@ def polygon_box(poly: Column, sx: Column, sy: Column) -> Column:
     return box(F.array_min(xs) * sx, F.array_min(ys) * sy, F.array_max(xs) * sx, F.array_max(ys) * sy)
 
 
-def column_overlap(a: Column, b: Column) -> Column:
-    return F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"])
-
-
 def scale_to_view(b: Column, page_w: Column, page_h: Column, view_w: Column, view_h: Column,
                   *, variant: str = "field") -> Column:
     """Page box to a view: left, top, width, height with a minimum size."""

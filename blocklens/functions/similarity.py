@@ -310,7 +310,3 @@ def embedded_threshold(n: int) -> int:
 
 def max_length_delta(n: int) -> int:
     return max(2, n // 2 + 1)
-
-
-def split_words(s: str) -> list[str]:
-    return re.split(r"\s+", s.strip())

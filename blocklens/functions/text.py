@@ -178,29 +178,31 @@ def _digit_class() -> str:
 
 
 _DIGIT = _digit_class()
+ASCII_DIGIT = "0-9"
 
 
-def flexible_digits_pattern(digits: str) -> str:
-    """The digits with any run of non-digits between them, not inside a longer digit run."""
-    core = rf"[^{_DIGIT}]*".join(digits)
-    return rf"(?<![{_DIGIT}]){core}(?![{_DIGIT}])"
+def flexible_digits_pattern(digits: str, digit: str = _DIGIT) -> str:
+    """The digits with any run of non-digits between them, not inside a longer digit run. ``digit`` is the class of
+    characters that count as digits."""
+    core = rf"[^{digit}]*".join(digits)
+    return rf"(?<![{digit}]){core}(?![{digit}])"
 
 
-def flexible_digits_span(text: Column, digits: str) -> Column:
+def flexible_digits_span(text: Column, digits: str, digit: str = _DIGIT) -> Column:
     """struct(c0, c1) of the first flexible digit match, else null."""
-    pat = flexible_digits_pattern(digits)
+    pat = flexible_digits_pattern(digits, digit)
     full = rf"(?s)^(.*?)({pat})"
     c0 = F.length(F.regexp_extract(text, full, 1))
     return F.when(text.rlike(pat), F.struct(
         c0.alias("c0"), (c0 + F.length(F.regexp_extract(text, full, 2))).alias("c1")))
 
 
-def flexible_digits_spans(text: Column, digits: str) -> Column:
+def flexible_digits_spans(text: Column, digits: str, digit: str = _DIGIT) -> Column:
     """Every flexible digit match as array<struct<c0,c1>>, left to right without overlap."""
-    core = rf"[^{_DIGIT}]*".join(digits)
-    end = rf"(?![{_DIGIT}])"
+    core = rf"[^{digit}]*".join(digits)
+    end = rf"(?![{digit}])"
     none = F.array().cast("array<struct<c0:int,c1:int>>")
-    starts = _cut_points(text, rf"(?<![{_DIGIT}])(?={core}{end})")
+    starts = _cut_points(text, rf"(?<![{digit}])(?={core}{end})")
 
     def add(acc: Column, p: Column) -> Column:
         rest = F.substring(text, p + 1, F.length(text))
@@ -208,7 +210,7 @@ def flexible_digits_spans(text: Column, digits: str) -> Column:
         taken = (F.size(acc) > 0) & (F.coalesce(F.try_element_at(acc, F.lit(-1))["c1"], F.lit(0)) > p)
         return F.when(taken, acc).otherwise(F.concat(acc, F.array(F.struct(p.alias("c0"), c1.alias("c1")))))
 
-    return F.when(text.rlike(flexible_digits_pattern(digits)),
+    return F.when(text.rlike(flexible_digits_pattern(digits, digit)),
                   F.aggregate(starts, none, add)).otherwise(none)
 
 

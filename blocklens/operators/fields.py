@@ -281,12 +281,12 @@ def _name_fallback(blocks: DataFrame, found: DataFrame, i: int, s: FieldSpec) ->
 def merge_fields(baseline: DataFrame, extra: DataFrame) -> DataFrame:
     """Union by field_id (name when it is missing). The last baseline row of an id is kept; extra rows
     are then applied in order and replace it while their confidence is strictly higher. Columns the
-    winner lacks keep the older value."""
+    winner's table lacks keep the older value; a null of the winner counts."""
     cols = list(dict.fromkeys([*baseline.columns, *extra.columns]))
-    key = lambda d: F.coalesce(*[F.col(c) for c in ("field_id", "name") if c in d.columns])
+    key = lambda d: F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("field_id", "name") if c in d.columns])
 
     def ranked(d: DataFrame) -> DataFrame:
-        return d.withColumn("_id", key(d)).filter(F.col("_id").isNotNull() & (F.col("_id") != ""))
+        return d.withColumn("_id", key(d)).filter(F.col("_id").isNotNull())
 
     base = ranked(baseline).groupBy("doc_id", "_id").agg(
         F.max_by(F.struct(*baseline.columns), "field_seq").alias("b"), F.min("field_seq").alias("_place"))
@@ -303,7 +303,7 @@ def merge_fields(baseline: DataFrame, extra: DataFrame) -> DataFrame:
         new = F.col(f"e.r.{c}") if c in extra.columns else F.lit(None)
         if c == "field_seq":
             return F.coalesce("_place", F.col("e.field_seq") + F.lit(1 << 40)).alias(c)
-        return F.when(wins, F.coalesce(new, old)).otherwise(old).alias(c)
+        return F.when(wins, new if c in extra.columns else old).otherwise(old).alias(c)
 
     return both.select("doc_id", *[pick(c) for c in cols if c != "doc_id"])
 

@@ -419,7 +419,9 @@ def fuzzy_stage(blocks: DataFrame, queries: Sequence[Query]) -> DataFrame:
     parts = []
     if single:
         d = src.withColumn("_ps", F.split("t", _WORD_EDGE))
-        d = tx.with_norm(d.withColumn("_pj", F.array_join("_ps", _MARK)), "_pj", "_pn")
+        # The mark itself may stand in a text: another control character takes its place there.
+        pieces = F.split(F.translate("t", _MARK, "\x02"), _WORD_EDGE)
+        d = tx.with_norm(d.withColumn("_pj", F.array_join(pieces, _MARK)), "_pj", "_pn")
         d = d.withColumn("_pn", F.split("_pn", _MARK))
         spans = _explode(d, keys, [_token_span(q) for q in single])
         parts.append(_place_spans(spans, single, 8, F.substring(F.col("t"), F.col("c0") + 1,

@@ -35,7 +35,7 @@ def best_fields(fields: DataFrame, concepts: Sequence[str]) -> DataFrame:
     document with very many fields is reduced inside each task first. Ties go to the first field."""
     cs = list(concepts)
     texts = match_strings(F.col("label"), F.col("name"), F.col("field_id"))
-    payload = F.struct(F.coalesce("field_id", "name").alias("field_id"),
+    payload = F.struct(F.coalesce(F.nullif("field_id", F.lit("")), F.col("name")).alias("field_id"),
                        F.coalesce(F.when(F.col("label") != "", F.col("label")), F.col("name")).alias("label"),
                        "value")
     scored = fields.select("doc_id", "field_seq", payload.alias("f"), sim.concept_scores(texts, cs).alias("s"))
@@ -53,6 +53,10 @@ def checks(documents: DataFrame, fields: DataFrame, concepts: Sequence[str], *,
     """One row per document and concept, also for documents without fields."""
     cs = clean_concepts(concepts)
     need = clamp_min_score(min_score)
+    if not cs:  # no checks at all; see ``verdicts``
+        return documents.limit(0).select("doc_id", F.expr(
+            "named_struct('concept_seq', 0, 'concept', '', 'status', '', 'matched_field_id', '', 'matched_label', '', "
+            "'value', '', 'match_score', 0D, '_whole', 0L)").alias("c")).select("doc_id", "c.*")
     parts = []
     for start in range(0, len(cs), CONCEPTS_PER_PASS):
         part = cs[start:start + CONCEPTS_PER_PASS]
@@ -91,11 +95,17 @@ def messages(checked: DataFrame, documents: DataFrame, *, min_score: float = MIN
                             F.lit("' but value is null or empty"))).alias("message"))
 
 
-def verdicts(checked: DataFrame) -> DataFrame:
-    """``all_ok`` per document: at least one check and every check ok."""
-    return checked.groupBy("doc_id").agg(
+def verdicts(checked: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """``all_ok`` per document: at least one check and every check ok. With ``documents``, those without any check
+    get a row too."""
+    out = checked.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_checks"), F.bool_and(F.col("status") == "ok").alias("all_ok"),
         F.count_if(F.col("status") != "ok").alias("n_issues"))
+    if documents is None:
+        return out
+    return documents.select("doc_id").distinct().join(out, "doc_id", "left").select(
+        "doc_id", F.coalesce("n_checks", F.lit(0)).alias("n_checks"), F.coalesce("all_ok", F.lit(False)).alias("all_ok"),
+        F.coalesce("n_issues", F.lit(0)).alias("n_issues"))
 
 
 def summary(checked: DataFrame, n_concepts: int) -> DataFrame:

@@ -634,8 +634,8 @@ def c_numbered() -> str:
 
 
 def c_checks_parse() -> str:
-    return """WITH c AS (SELECT conv_id, turn, list_filter(list_transform(CASE turn % 3 WHEN 0 THEN [role, substr(text, 1, 20)]
-    WHEN 1 THEN string_split(text, chr(10)) ELSE [role] END, lambda x: trim(x)), lambda x: x <> '') AS a FROM conversations)
+    return """WITH c AS (SELECT conv_id, turn, list_filter(list_transform(CASE turn % 3 WHEN 0 THEN [role, text]
+    WHEN 1 THEN string_split(text, chr(10)) ELSE [text] END, lambda x: trim(x)), lambda x: x <> '') AS a FROM conversations)
 SELECT conv_id, turn, unnest(range(len(a))) AS n, unnest(a) AS concept FROM c"""
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .stage import materialise
+
 CHUNK_ROWS = 1024
 BAND_POINTS = 1024
 
@@ -44,6 +46,16 @@ def dense_positions(df: DataFrame, group: Sequence[str], chunk: dict[str, Column
             .drop("_rn", "_before", *names))
 
 
+def range_positions(df: DataFrame, group: Sequence[str], order: Sequence[Column], out: str, start: int = 0) -> DataFrame:
+    """Rank of each row inside its group, for groups of any size and orders of any kind.
+
+    Rows are range-partitioned by group and order, so a large group lies in many partitions; only the number of rows
+    of a group in a partition is ordered as a whole. The partitioned rows are checkpointed, as the ranges are sampled
+    anew by every job."""
+    keyed = materialise(df.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()))
+    return dense_positions(keyed, group, {"_part": F.col("_part")}, order, out, start)
+
+
 def with_neighbours(df: DataFrame, group: Sequence[str], seq: str, cols: Sequence[str], *,
                     prev: str | None = None, next: str | None = None,
                     rows: int = CHUNK_ROWS) -> DataFrame:

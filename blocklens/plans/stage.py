@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows are computed once and written to the shared checkpoint folder, so
-    they survive a lost executor. A folder of our own is set only where the session names none."""
+    """Reliable checkpoint: the rows are computed once and written to the folder of ``spark.checkpoint.dir``, so
+    they survive a lost executor. Only a local session without the setting gets a folder of its own; on a cluster
+    its absence is an error, as executors don't share a local folder."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None)
-                            or tempfile.mkdtemp(prefix="blocklens-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="blocklens-checkpoint-"))
     return df.checkpoint()

@@ -434,9 +434,9 @@ def c_numbered(spark, sf):
 def c_checks_parse(spark, sf):
     """Checklists in all forms, made of the text of conversations."""
     t = derive.table(spark, sf, "conversations")
-    lst = F.to_json(F.array(F.col("role"), F.substring("text", 1, 20)))
-    form = F.when(F.col("turn") % 3 == 0, lst).when(F.col("turn") % 3 == 1, F.col("text")).otherwise(
-        F.concat(F.lit('"'), F.col("role"), F.lit('"')))
+    both, one = F.to_json(F.array("role", "text")), F.to_json(F.array("text"))
+    string = F.substring(one, F.lit(2), F.length(one) - 2)
+    form = F.when(F.col("turn") % 3 == 0, both).when(F.col("turn") % 3 == 1, F.col("text")).otherwise(string)
     d = t.select("conv_id", "turn", F.posexplode(tx.parse_checks(form)).alias("n", "concept"))
     return d.select(*_i64("conv_id", "turn", "n"), "concept")
 

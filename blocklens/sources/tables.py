@@ -25,11 +25,9 @@ def list_folder(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> Dat
 
 
 def number_files(files: DataFrame, name: str = "name") -> DataFrame:
-    """1-based position by lower-cased name, over range-split names so no task sorts the list alone."""
-    return ordered.dense_positions(
-        files.withColumn("_all", F.lit(0)), ["_all"],
-        {"_k": F.substring(F.lower(name), 1, 4)}, [F.lower(name), F.col(name)], "position", start=1
-    ).drop("_all")
+    """1-based position by lower-cased name, over ranges of whole names so no task sorts the list alone."""
+    return ordered.range_positions(files.withColumn("_all", F.lit(0)), ["_all"], [F.lower(name), F.col(name)],
+                                   "position", start=1).drop("_all")
 
 
 def pick_files(files: DataFrame, *, count: int | None = None, pick: Sequence[int] | None = None,
@@ -155,6 +153,5 @@ def latest(log: DataFrame, n: int = 50) -> DataFrame:
 
 def upload_order(documents: DataFrame) -> DataFrame:
     """``upload_index`` as 0-based position by doc_id for tables that lack one."""
-    return ordered.dense_positions(
-        documents.withColumn("_all", F.lit(0)), ["_all"], {"_k": ordered.chunk_of(F.col("doc_id"))},
-        [F.col("doc_id")], "upload_index").drop("_all")
+    return ordered.range_positions(documents.withColumn("_all", F.lit(0)), ["_all"], [F.col("doc_id")],
+                                   "upload_index").drop("_all")

@@ -1,5 +1,4 @@
 import random
-import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,86 +66,72 @@ def test_standalone_cap_and_duplicates(make_blocks):
     assert got == [(1, "a@b.c"), (2, "y")]
 
 
-# ---- the automaton against a loop -------------------------------------------------------------------
-
-def is_label(t):
-    return 2 <= len(t) <= 52 and ":" not in t and sum(c.isalpha() for c in t) >= 2 \
-        and sum(c.isdigit() for c in t) <= len(t) * 0.6
-
-
-def blank(t):
-    return re.sub(r"[\s_\-.]", "", t) == ""
-
-
-def plain(t):
-    if not 1 <= len(t) <= 500 or (t.count(":") == 1 and t.index(":") < 30) or (is_label(t) and len(t) < 18):
-        return False
-    return re.search(r"\w", t) is not None
-
-
-def stacked_ok(t):
-    if not 1 <= len(t) <= 500:
-        return False
-    if blank(t):
-        return True
-    if (":" in t[:22] and len(t) < 36) or (" " not in t and len(t) <= 8 and is_label(t)):
-        return False
-    return re.search(r"\w", t) is not None
-
-
-def walk(rows):
-    """Detections of one document in order, as (index, kind)."""
-    out, pending, skip = [], False, set()
-    for i, (page, t, y0, y1, x0, x1) in enumerate(rows):
-        if i in skip:
+# ---- the scan against a state table -------------------------------------------------------------------
+
+# Each text by hand: its kind in a free place, whether a label that waits takes it (and shows it), whether it may
+# stand below a heading.
+BLOCKS = {
+    "Name:": ("label", "refused", False), "ab:": ("label", "refused", False),
+    "a very long label line that goes on and on for:": ("label", "shown", True),
+    "Plan: Gold": ("pair", "refused", False), "Note: ____": ("nothing", "refused", False),
+    "9:": ("nothing", "refused", False),
+    "Market Segment": ("heading", "refused", True), "Peter Jones": ("heading", "refused", True),
+    "a long value without any label in it": ("heading", "shown", True),
+    "12/05/2001": ("lone", "shown", True), "12345678": ("lone", "shown", True),
+    "____": ("nothing", "hidden", True), "x": ("nothing", "shown", True),
+    "Inter-Agency": ("nothing", "refused", True),
+    "One Two Three Four Five Six Seven Eight Nine Ten Eleven Twelve": ("nothing", "shown", True),
+}
+# state, event -> detection, next state
+STEPS = {
+    ("free", "label"): (None, "waiting"), ("free", "pair"): ("label_value", "free"),
+    ("free", "stack"): ("stacked_label_plain", "below"), ("free", "lone"): ("standalone_pattern", "free"),
+    ("free", "nothing"): (None, "free"),
+    ("waiting", "shown"): ("label_next_plain", "free"), ("waiting", "hidden"): (None, "free"),
+}
+
+
+def expected(layout):
+    """Detections of one document as (position, kind); ``layout`` has (text, joins the next block)."""
+    out, state = [], "free"
+    for i, (text, joined) in enumerate(layout):
+        kind, when_waiting, _ = BLOCKS[text]
+        if state == "below":
+            state = "free"
             continue
-        if pending:
-            pending = False
-            head = t[:36].split(":")[0].strip() if ":" in t[:36] else ""
-            starts = len(t.split(":")[0].strip()) >= 3 if ":" in t[:36] else False
-            if not (starts and any(c.isalpha() for c in head)) and t and (plain(t) or blank(t)):
-                if not blank(t):
-                    out.append((i, "label_next_plain"))
-                continue
-        if ":" in t:
-            left, right = (s.strip() for s in t.split(":", 1))
-            if len(left) >= 2 and not right:
-                pending = True
-            elif len(left) >= 2 and not blank(right):
-                out.append((i, "label_value"))
-            continue
-        if is_label(t) and not re.match(r"^[A-Z][a-z]{2,}-[A-Z][a-z]{2,}$", t) and i + 1 < len(rows):
-            p2, nt, ny0, _, nx0, nx1 = rows[i + 1]
-            if p2 == page and ny0 - y1 <= 52 and min(x1, nx1) - max(x0, nx0) >= 35 and stacked_ok(nt) \
-                    and (":" not in nt[:20] or len(nt) > 25):
-                out.append((i, "stacked_label_plain"))
-                skip.add(i + 1)
-                continue
-        if re.match(r"^\d{1,2}[/-]\d{1,2}[/-]\d{2,4}$|^\d{8,14}$", t):
-            out.append((i, "standalone_pattern"))
+        if state == "waiting" and when_waiting != "refused":
+            event = when_waiting
+        else:
+            state = "free"
+            event = ("stack" if joined else "nothing") if kind == "heading" else kind
+        found, state = STEPS[state, event]
+        if found:
+            out.append((i, found))
     return out
 
 
-def test_automaton_matches_the_loop(make_blocks):
+def test_scan_matches_the_state_table(make_blocks):
     """Random documents, one of them longer than a chunk and with long runs of copies."""
     rng = random.Random(11)
-    pool = ["Name:", "Plan: Gold", "Market Segment", "a long value without any label in it", "12/05/2001", "____",
-            "12345678", "ab:", "Inter-Agency", "Peter Jones", "x", "a very long label line that goes on and on for:",
-            "One Two Three Four Five Six Seven Eight Nine Ten Eleven Twelve", "Note: ____", "9:"]
     rows, want = [], {}
     for doc in range(40):
         n = 2500 if doc == 0 else rng.randint(1, 40)
-        texts, page, y = [], 1, 60.0
-        while len(texts) < n:
-            t = rng.choice(pool)
+        placed, page, y = [], 1, 60.0
+        while len(placed) < n:
+            t = rng.choice(list(BLOCKS))
             for _ in range(rng.randint(300, 700) if doc == 0 and rng.random() < 0.2 else 1):
                 if rng.random() < 0.1:
                     page, y = page + 1, 60.0
                 x = 72.0 if rng.random() < 0.9 else 400.0
-                texts.append((page, t, y, y + 11, x, x + 5.0 * len(t) + 20))
+                placed.append((page, t, x, y, x + 5.0 * len(t) + 20, y + 11))
                 y += rng.choice([20.0, 30.0, 90.0])
-        rows += [(doc, p, t, x0, y0, x1, y1) for p, t, y0, y1, x0, x1 in texts]
-        want[doc] = walk(texts)
+        rows += [(doc, *p) for p in placed]
+        layout = []
+        for up, low in zip(placed, placed[1:] + [None]):
+            near = low is not None and up[0] == low[0] and low[3] - up[5] <= 52
+            wide = near and min(up[4], low[4]) - max(up[2], low[2]) >= 35
+            layout.append((up[1], bool(wide and BLOCKS[low[1]][2])))
+        want[doc] = expected(layout)
     d = fields.dynamic_candidates(make_blocks(rows), max_standalone=10 ** 6)
     got = {}
     for r in d.collect():
@@ -154,6 +139,14 @@ def test_automaton_matches_the_loop(make_blocks):
     assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
 
 
+def test_empty_id_falls_back_to_the_name_and_nulls_overlay(spark):
+    shape = "doc_id bigint, field_seq bigint, field_id string, name string, value string, label string, confidence double"
+    base = spark.createDataFrame([(1, 0, "", "plan", "Gold", "Plan", 0.5), (1, 1, "id", "id", "7", "Id", 0.5)], shape)
+    extra = spark.createDataFrame([(1, 0, "", "plan", "Silver", None, 0.9)], shape)
+    got = {(r.name, r.value, r.label) for r in fields.merge_fields(base, extra).collect()}
+    assert got == {("plan", "Silver", None), ("id", "7", "Id")}
+
+
 # ---- keyword mode, merging, corrections ---------------------------------------------------------------
 
 def test_keyword_fields(make_blocks):

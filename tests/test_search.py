@@ -154,3 +154,17 @@ def test_reading_order_wraps(make_blocks):
     assert got == [(0, 1, 20.0, 2, 1), (1, 1, 72.0, 0, 2), (2, 2, 20.0, 1, 0)]
     box = hits.highlights(o, 1, active_no=1).filter(F.col("active")).first()
     assert box.overlay_key == "s-1-1-p1-72-60-87-71"
+
+
+def test_control_character_in_a_text_keeps_the_box(make_blocks):
+    plain, odd = (search.fuzzy_stage(make_blocks([(1, 1, t, 0.0, 0.0, 100.0, 11.0)]), search.make_queries(["policy"]))
+                  .first() for t in ("a-b poiicy", "a\x01b poiicy"))
+    assert (odd.x0, odd.x1) == (plain.x0, plain.x1) and odd.x1 > odd.x0
+
+
+def test_unknown_documents_come_last(spark, make_blocks):
+    rows = [r for d in (1, 2, 3) for r in row_of_words(d, ["that"])]
+    found = search.search_exact(make_blocks(rows), ["that"])
+    docs = spark.createDataFrame([(1, 5000), (3, 5)], "doc_id bigint, upload_index int")
+    got = [r.doc_id for r in hits.in_reading_order(found, docs).orderBy("hit_no").collect()]
+    assert got == [3, 1, 2]

@@ -95,3 +95,25 @@ def test_tall_block_band(spark):
     b = F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(60.0).alias("x1"), F.lit(100.0).alias("y1"))
     v = spark.range(1).select(geo.slice_box(b, F.lit(10), F.lit(20), F.lit(60)).alias("v")).first().v
     assert (v.y0, v.y1) == pytest.approx((100 / 6, 200 / 6))
+
+
+def test_names_are_numbered_over_ranges_of_whole_names(spark):
+    names = [f"http://same.prefix/{i:03d}" for i in range(60)] + ["B.pdf", "a.pdf"]
+    files = spark.createDataFrame([(n,) for n in names], "name string").repartition(7)
+    got = {r.name: r.position for r in tables.number_files(files).collect()}
+    assert got == {n: i + 1 for i, n in enumerate(sorted(names, key=str.lower))}
+
+
+def test_upload_order_has_no_gaps(spark):
+    docs = spark.createDataFrame([(10 ** 12,), (5,), (7,)], "doc_id bigint")
+    assert {r.doc_id: r.upload_index for r in tables.upload_order(docs).collect()} == {5: 0, 7: 1, 10 ** 12: 2}
+
+
+def test_empty_checklist(spark):
+    docs = spark.createDataFrame([(1, "a.pdf")], "doc_id bigint, filename string")
+    f = spark.createDataFrame([(1, 0, "", "plan", "Plan", "Gold")],
+                              "doc_id bigint, field_seq bigint, field_id string, name string, label string, value string")
+    none = verify.checks(docs, f, [" ", ""])
+    assert none.count() == 0 and none.columns == verify.checks(docs, f, ["plan"]).columns
+    assert [tuple(r) for r in verify.verdicts(none, docs).collect()] == [(1, 0, False, 0)]
+    assert verify.checks(docs, f, ["plan"]).first().matched_field_id == "plan"

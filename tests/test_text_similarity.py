@@ -114,3 +114,9 @@ def test_token_set(c, label, want):
 def test_reply_objects(spark):
     v = one(spark, tx.parse_reply_objects(F.lit('ok [1, {"a":"x","b":2}, "s"] end'), "a string, b int"))
     assert [(o.a, o.b) for o in v] == [("x", 2)]
+
+
+def test_superscripts_are_digits_in_one_layer_only(spark):
+    t = F.lit("82²725")
+    assert one(spark, tx.flexible_digits_span(t, "82725")) is None
+    assert one(spark, tx.flexible_digits_span(t, "82725", tx.ASCII_DIGIT)) is not None
