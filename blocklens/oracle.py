@@ -545,6 +545,15 @@ def v_messages() -> str:
 UNION ALL SELECT o_orderkey, 4, {_NAME} || ': no field matched for ''first name'' (fuzzy score 57 < 62.0)' FROM orders"""
 
 
+def c_folder() -> str:
+    return f"""SELECT o_orderkey AS doc_id, CAST(3 AS BIGINT) AS concept_seq, {_NAME} AS filename,
+  {_NAME} || ': ''signature'' matched ''Signature'' but value is null or empty' AS message, false AS is_error
+FROM orders WHERE o_orderkey % 7 <> 0
+UNION ALL SELECT o_orderkey, 4, {_NAME}, {_NAME} || ': no field matched for ''first name'' (fuzzy score 57 < 62.0)', false
+FROM orders WHERE o_orderkey % 7 <> 0
+UNION ALL SELECT NULL, NULL, {_NAME}, {_NAME} || ': ERROR — skipped — not a .pdf', true FROM orders WHERE o_orderkey % 7 = 0"""
+
+
 def v_summary() -> str:
     return """SELECT count(*) AS pdf_count, CAST(5 AS BIGINT) AS concepts_count, CAST(0 AS BIGINT) AS pdfs_all_ok,
   count(*) AS pdfs_with_issues, CAST(2 * count(*) AS BIGINT) AS issue_lines FROM orders"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import geometry as geo
 from .functions import similarity as sim
 from .functions import text as tx
-from .operators import embedded, fields, hits, layout, ocr, review, search, verify
+from .operators import embedded, fields, folder, hits, layout, ocr, review, search, verify
 from .plans import derive
 from .sources import tables
 
@@ -426,6 +426,13 @@ def c_deferred(spark, sf):
     return tables.mark_extracted(docs, done).select(*_i64("doc_id"), "extraction_pending")
 
 
+def c_folder(spark, sf):
+    """Lines of a folder run: issues of the accepted documents, errors of the others."""
+    done = folder.run_folder(_form_documents(spark, sf), _forms(spark, sf), CONCEPTS,
+                             detect=lambda b: fields.detect_fields(b, include_placeholders=True))
+    return done.messages.select(*_i64("doc_id", "concept_seq"), "filename", "message", "is_error")
+
+
 def c_numbered(spark, sf):
     d = tables.number_files(derive.table(spark, sf, "pages").select(F.col("url").alias("name"), "page_id"))
     return d.select(*_i64("page_id", "position"), "name")
@@ -483,7 +490,7 @@ NAMES = [
     "l_prompt", "f_label_value", "f_dynamic", "f_dynamic_documents", "f_standalone", "f_keyword", "f_state",
     "f_queue", "f_progress", "f_unknown", "f_merge", "f_align", "f_answers", "f_corrections", "f_known_priority",
     "v_checks", "v_verdicts", "v_messages", "v_summary", "v_verify_only", "o_filter", "o_pick", "o_needs",
-    "o_merge", "o_route", "c_catalog", "c_errors", "c_accepted", "c_deferred", "c_numbered", "c_checks_parse",
+    "o_merge", "o_route", "c_catalog", "c_errors", "c_accepted", "c_deferred", "c_folder", "c_numbered", "c_checks_parse",
     "c_reply_parse", "r_latest", "t_normalise", "t_labels",
 ]
 
