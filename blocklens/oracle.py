@@ -487,6 +487,10 @@ def f_progress() -> str:
 FROM (SELECT st.*, done.field_id AS d FROM st LEFT JOIN done USING (doc_id, field_id)) GROUP BY doc_id"""
 
 
+def r_completions() -> str:
+    return f"WITH {FORMS}, {_STATE} SELECT DISTINCT doc_id, field_id FROM done"
+
+
 def f_unknown() -> str:
     return f"WITH {FORMS}, {_STATE} SELECT doc_id, field_id FROM done WHERE field_id = 'unknown_field'"
 

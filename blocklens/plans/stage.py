@@ -4,18 +4,29 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_own: dict[str, str] = {}
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows are computed once and written to the folder of ``spark.checkpoint.dir``, so
-    they survive a lost executor. Only a local session without the setting gets a folder of its own; on a cluster
-    its absence is an error, as executors don't share a local folder."""
-    spark = df.sparkSession
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Only a local session without the setting gets a folder of its own; on
+    a cluster its absence is an error, as executors don't share a local folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
     sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if sc.applicationId not in _own:
+        _own[sc.applicationId] = tempfile.mkdtemp(prefix="blocklens-checkpoint-")
+    return _own[sc.applicationId]
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: the rows are computed once and written to the shared folder, so they survive a lost
+    executor."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="blocklens-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

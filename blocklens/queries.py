@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from .functions import geometry as geo
 from .functions import similarity as sim
 from .functions import text as tx
 from .operators import embedded, fields, folder, hits, layout, ocr, review, search, verify
-from .plans import derive
+from .plans import derive, stage
 from .sources import tables
 
 WORD_QUERIES = ["that", "etre", "The and", "thaner", "10"]
@@ -250,8 +251,8 @@ def f_dynamic_documents(spark, sf):
 
 
 def f_standalone(spark, sf):
-    """Lone dates and ids, at most one per page."""
-    d = fields.detect_fields(_forms(spark, sf), max_standalone=1)
+    """Lone dates and ids."""
+    d = fields.detect_fields(_forms(spark, sf))
     return _field_view(d.filter(F.col("detection") == "standalone_pattern"))
 
 
@@ -284,6 +285,15 @@ def f_progress(spark, sf):
         *_i64("doc_id", "pending", "completed", "needs_review"))
 
 
+def r_completions(spark, sf):
+    """Completed fields, by way of the review log: appended, read back and reduced."""
+    path = f"{stage.shared_folder(spark)}/review-{uuid.uuid4().hex}"
+    done = _completed(spark, sf).select(F.lit(review.COMPLETE).alias("action"), "doc_id", F.col("field_id").alias("detail"))
+    review.append_actions(done, path)
+    review.append_actions(done.union(done.withColumn("action", F.lit("OPEN")).withColumn("detail", F.lit("seen"))), path)
+    return review.completions(review.read_log(spark, path)).select(*_i64("doc_id"), "field_id")
+
+
 def f_unknown(spark, sf):
     f = fields.detect_fields(_forms(spark, sf))
     return review.unknown_completions(f, _completed(spark, sf)).select(*_i64("doc_id"), "field_id")
@@ -488,7 +498,7 @@ NAMES = [
     "q_hit_stats", "q_hit_order", "q_embedded", "q_embedded_lines", "q_hybrid", "q_priority", "q_highlight",
     "d_grid", "d_greedy", "l_reading_order", "l_lines", "l_lines_tight", "l_paragraphs", "l_pages", "l_readable",
     "l_prompt", "f_label_value", "f_dynamic", "f_dynamic_documents", "f_standalone", "f_keyword", "f_state",
-    "f_queue", "f_progress", "f_unknown", "f_merge", "f_align", "f_answers", "f_corrections", "f_known_priority",
+    "f_queue", "r_completions", "f_progress", "f_unknown", "f_merge", "f_align", "f_answers", "f_corrections", "f_known_priority",
     "v_checks", "v_verdicts", "v_messages", "v_summary", "v_verify_only", "o_filter", "o_pick", "o_needs",
     "o_merge", "o_route", "c_catalog", "c_errors", "c_accepted", "c_deferred", "c_folder", "c_numbered", "c_checks_parse",
     "c_reply_parse", "r_latest", "t_normalise", "t_labels",
