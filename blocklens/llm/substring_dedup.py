@@ -312,7 +312,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = stored(distinct_texts.join(parts, "tid"), "held")
     asked = held.where(F.size("asked") > 0).select("tid", "text", "asked")
     strings = asked.mapInArrow(_strings, "h1 bigint, h2 bigint, tid bigint, p int")
-    again = strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h1", "h2")
+    again = stored(strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h1", "h2"), "again")
     starts = strings.join(again, ["h1", "h2"], "left_semi").groupBy("tid").agg(F.collect_list("p").alias("starts"))
     cut = held.select("tid", "text", "copies", "spans").join(starts, "tid", "left").mapInPandas(
         _cut, f"tid bigint, removed {_RANGES}, kept_sha256 string")
