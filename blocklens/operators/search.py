@@ -155,6 +155,38 @@ def search_exact(blocks: DataFrame, texts: Sequence[str] | str) -> DataFrame:
     return _over_passes(texts, lambda qs: block_stage(blocks, qs, ["exact"]))
 
 
+def _words(c: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(f"({tx.WORD}+)"), F.lit(1)))
+
+
+def search_many(blocks: DataFrame, queries: DataFrame) -> DataFrame:
+    """Whole-word search like ``search_exact`` for a table of any number of queries (query_id, text), in one plan.
+
+    A query that stands on word boundaries has all its words among those of the block. So it is looked up in the
+    words' postings by the rarest of its words, and only those blocks are tested. Queries without a word character
+    find nothing."""
+    src = _stripped(blocks).withColumn("_low", F.lower("t"))
+    q = queries.select("query_id", tx.strip(F.col("text")).alias("raw")).withColumn("q_low", F.lower("raw"))
+    asked = q.select("query_id", F.explode(_words(F.col("q_low"))).alias("w"))
+    at_block = ["doc_id", "page", "block_seq"]
+    posts = src.select(*at_block, F.explode(_words(F.col("_low"))).alias("w"))
+    counts = posts.join(asked.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    rarest = (asked.join(counts, "w", "left").groupBy("query_id")
+              .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w")).alias("k"))
+              .filter(F.col("k.n") > 0).select("query_id", F.col("k.w").alias("w")))
+    pairs = posts.join(rarest, "w").select(*at_block, "query_id")
+    d = src.join(pairs, at_block).join(q, "query_id")
+    start, n = F.expr("instr(_low, q_low)") - 1, F.length("raw")
+    d = d.filter((start >= 0) & tx.boundary_ok(F.col("t"), start, n))
+    spans = d.select("doc_id", "page", "block_seq", "t", *BOX_COLS, F.col("query_id").cast("bigint").alias("query_id"),
+                     "raw", F.lit("exact").alias("match_type"), start.cast("int").alias("c0"),
+                     (start + n).cast("int").alias("c1"))
+    box = geo.slice_box(geo.box_of(), F.col("c0"), F.col("c1"), F.length("t"))
+    stamp = reduce(Column.__or__, [(tx._norm_native(F.col("raw")) == w) & geo.stamp_hit(F.col("t"), box, w)
+                                   for w in tx.STAMP_WORDS])
+    return _place_spans(spans.filter(~stamp), [], 10)
+
+
 def search_exact_loose(blocks: DataFrame, texts: Sequence[str] | str) -> DataFrame:
     return _over_passes(texts, lambda qs: block_stage(blocks, qs, ["exact_loose"]))
 

@@ -105,6 +105,14 @@ def q_exact() -> str:
     return f"WITH {_exact_ctes(WORD_QUERIES)} SELECT {HIT} FROM hit WHERE match_type = 'exact'"
 
 
+def q_many() -> str:
+    texts = """qt AS (SELECT item_id, unnest(string_split(text, '. ')) AS raw,
+  unnest(range(len(string_split(text, '. ')))) AS n FROM benchmark),
+q AS (SELECT item_id * 100000 + n AS query_id, trim(raw) AS raw, lower(trim(raw)) AS low FROM qt WHERE trim(raw) <> '')"""
+    ctes = _exact_ctes(["x"]).replace(_q(["x"]), texts)
+    return f"WITH {ctes} SELECT {HIT} FROM hit WHERE match_type = 'exact'"
+
+
 def q_exact_loose() -> str:
     return f"WITH {_exact_ctes(WORD_QUERIES)} SELECT {HIT} FROM hit WHERE match_type = 'exact_loose'"
 

@@ -64,6 +64,13 @@ def q_exact(spark, sf):
     return _hit_view(search.search_exact(_lines(spark, sf), WORD_QUERIES))
 
 
+def q_many(spark, sf):
+    """Every sentence of the benchmark texts, looked up in every line."""
+    b = derive.table(spark, sf, "benchmark").select("item_id", F.posexplode(F.split("text", r"\. ")).alias("n", "text"))
+    asked = b.select((F.col("item_id") * 100000 + F.col("n")).alias("query_id"), "text")
+    return _hit_view(search.search_many(_lines(spark, sf), asked))
+
+
 def q_exact_loose(spark, sf):
     return _hit_view(search.search_exact_loose(_lines(spark, sf), WORD_QUERIES))
 
@@ -493,7 +500,7 @@ def t_labels(spark, sf):
 
 
 NAMES = [
-    "q_exact", "q_exact_loose", "q_digits", "q_cascade", "q_boundary_positions", "q_merged_line", "q_line_page",
+    "q_exact", "q_many", "q_exact_loose", "q_digits", "q_cascade", "q_boundary_positions", "q_merged_line", "q_line_page",
     "q_fuzzy_ratio", "q_fuzzy_tokens", "q_fuzzy_lev", "q_token_set", "q_partial", "q_score_lines", "q_best_block",
     "q_hit_stats", "q_hit_order", "q_embedded", "q_embedded_lines", "q_hybrid", "q_priority", "q_highlight",
     "d_grid", "d_greedy", "l_reading_order", "l_lines", "l_lines_tight", "l_paragraphs", "l_pages", "l_readable",

@@ -168,3 +168,14 @@ def test_unknown_documents_come_last(spark, make_blocks):
     docs = spark.createDataFrame([(1, 5000), (3, 5)], "doc_id bigint, upload_index int")
     got = [r.doc_id for r in hits.in_reading_order(found, docs).orderBy("hit_no").collect()]
     assert got == [3, 1, 2]
+
+
+def test_a_table_of_queries_gives_what_the_list_gives(spark, make_blocks):
+    rows = [r for d, t in enumerate(["date of birth 1990", "update offbirth", "DRAFT", "Date Of, of birth"]) for r in
+            [(d, 1, t, 72.0, 60.0, 572.0, 71.0)]]
+    texts = ["date of", "of birth", "birth", "of", "draft", "none such", "1990"]
+    want = search.search_exact(make_blocks(rows), texts)
+    asked = spark.createDataFrame(list(enumerate(texts)), "query_id bigint, text string")
+    got = search.search_many(make_blocks(rows), asked)
+    view = lambda d: sorted(tuple(r) for r in d.select("doc_id", "query_id", "x0", "x1", "snippet", "match_type").collect())
+    assert view(got) == view(want) != []
