@@ -175,12 +175,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
 
 
 def _may_link(percent: int, other: str) -> Column:
-    """Whether two members of a list may link: their sizes fit, and the value is among those that the smaller one
-    must share with a larger one (for both, if they are equal)."""
+    """Whether two members of a list may link by it: their sizes fit, and the value is among the lowest
+    n - least + 1 of both, where a link needs ``least`` shared values; a pair that links has such a value."""
     n, m = F.col("n"), F.col(f"{other}n")
+    least = F.ceil((n + m) * percent / (100 + percent))
     fits = 100 * F.least(n, m) >= percent * F.greatest(n, m)
-    return (fits & (n <= F.col(f"{other}most")) & (m <= F.col("most")) & (F.col("early") | (n > m))
-            & (F.col(f"{other}early") | (m > n)))
+    return (fits & (n <= F.col(f"{other}most")) & (m <= F.col("most")) & (F.col("at") <= n - least)
+            & (F.col(f"{other}at") <= m - least))
 
 
 def near_links(docs: DataFrame, words: int, percent: int, frequent: int) -> tuple[DataFrame, DataFrame]:
@@ -202,7 +203,7 @@ def near_links(docs: DataFrame, words: int, percent: int, frequent: int) -> tupl
     # With a set of its size or more a set must share one of its lowest n - ceil(2t / (1 + t) n) + 1 values.
     near = F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent)) + 1
     posts = sketches.select("id", "n", "rare", F.posexplode("low").alias("at", "v")).select(
-        "id", "n", "rare", "v", (F.col("at") < near).alias("early"))
+        "id", "n", "rare", "v", "at", (F.col("at") < near).alias("early"))
     lists = posts.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     posts = stored(posts.join(lists, "v"), "shared")
     # A sketch with a frequent value holds all rarer values of its set. Those on no other list are in no other such
@@ -216,7 +217,7 @@ def near_links(docs: DataFrame, words: int, percent: int, frequent: int) -> tupl
     posts = posts.where(F.col("v") < int(_LAST)).withColumn("most", free).unionByName(common.select(*posts.columns, "most"))
     posts = posts.drop("c")
     lists = (posts.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.count_if("early").alias("e"),
-                                    F.min(F.struct("rare", "id", "n", "early", "most")).alias("p"))
+                                    F.min(F.struct("rare", "id", "n", "at", "most")).alias("p"))
              .where("c > 1 AND e > 0"))
     posts = stored(posts.join(lists, "v"), "lists")
     stars = (posts.where("id <> p.id").where(_may_link(percent, "p."))
@@ -224,13 +225,13 @@ def near_links(docs: DataFrame, words: int, percent: int, frequent: int) -> tupl
     links = _verified(_within_bound(stars, sketches, percent), docs, words, percent)
     roots = components(links)
 
-    placed = posts.where("c > 2").select("v", "id", "n", "most", "early").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    placed = posts.where("c > 2").select("v", "id", "n", "most", "at").join(roots.withColumnRenamed("node", "id"), "id", "left")
     placed = stored(placed.withColumn("root", F.coalesce("root", "id")), "placed")
     sizes = placed.groupBy("v", "root").agg(F.count(F.lit(1)).alias("m"))
     main = (sizes.groupBy("v").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("m", "root")).alias("main"))
             .where("roots > 1").select("v", "main"))
     placed = stored(placed.join(main, "v"), "open")
-    outer = placed.where("root <> main").select("v", F.struct("id", "n", "most", "early", "root").alias("x"))
+    outer = placed.where("root <> main").select("v", F.struct("id", "n", "most", "at", "root").alias("x"))
     rest = (outer.join(placed, "v").where("x.root <> root AND (root = main OR x.id < id)")
             .where(_may_link(percent, "x."))
             .select(F.least("id", "x.id").alias("a"), F.greatest("id", "x.id").alias("b")).distinct())
