@@ -7,6 +7,7 @@ import math
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -164,6 +165,43 @@ def test_mix_places_every_document(odd_docs, no_docs):
     assert mixing.mix(no_docs).count() == 0
 
 
+def _furthest(order, weights):
+    """How far a source ever is from its share: each slot is shared by weight among the sources that are not used up."""
+    names = sorted(weights)
+    left, w = np.array([order.count(s) for s in names], float), np.array([float(weights[s]) for s in names])
+    want, seen, far = np.zeros(len(names)), np.zeros(len(names)), 0.0
+    for s in order:
+        room = 1.0
+        while room > 1e-12 and (live := left - want > 1e-9).any():
+            rate = np.where(live, w, 0) / w[live].sum()
+            step = min(room, ((left - want)[live] / rate[live]).min())
+            want, room = want + step * rate, room - step
+        seen[names.index(s)] += 1
+        far = max(far, abs(seen - want).max())
+    return far
+
+
+@pytest.mark.parametrize("sizes, weights", [
+    ({"a": 3000, "b": 6000}, {"a": Fraction(1, 3), "b": Fraction(2, 3)}),
+    ({"a": 2000, "b": 6, "c": 4}, {"a": 1, "b": 1 / 5000, "c": 0.3}),
+    ({"a": 1000} | {f"s{i}": 1 + i % 3 for i in range(1100)}, {"a": 0.33} | {f"s{i}": 0.67 / 1100 for i in range(1100)})])
+def test_mixture_stays_within_a_block(spark, sizes, weights):
+    """Texts of one byte in blocks of one byte, over many sources and many times the sources."""
+    rows = [(i, "x", s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    docs = spark.createDataFrame(rows, f"{TEXT}, source string")
+    got = sorted((r.slot, r.source) for r in mixing.mix(docs, weights, block_bytes=1).collect())
+    assert [slot for slot, _ in got] == list(range(len(rows)))
+    assert Counter(s for _, s in got) == sizes and _furthest([s for _, s in got], weights) < 1 + 1e-6
+
+
+def test_stream_of_sources_without_weight():
+    got = list(mixing.stream({"a": 2, "b": 2, "c": 0, "z": 2}, {"a": 1, "b": 0, "c": 1, "z": 0}))
+    assert got == [("a", 0, 0, 0), ("a", 1, 1, 0), ("b", 0, 2, 1), ("z", 0, 3, 1), ("b", 1, 4, 1), ("z", 1, 5, 1)]
+    assert list(mixing.stream({}, {})) == [] and list(mixing.stream({"b": 1}, {"b": 0})) == [("b", 0, 0, 0)]
+    with pytest.raises(ValueError):
+        list(mixing.stream({"a": 1}, {"a": -1}))
+
+
 def test_quality(spark, odd_docs, no_docs):
     rng = random.Random(2)
     texts = [(i, " ".join(f"{'word' if i % 3 else 'WORD!!'}{rng.randint(1, 99)}" for _ in range(rng.randint(5, 60))))
