@@ -84,32 +84,37 @@ class _Words:
         return b"".join([self.piece[w] for w in seq.tolist()]).decode(errors="replace")
 
 
-def _laid_out(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, block_chars: int, row, schema: str):
-    """``row(words, seq)`` for each document, ``seq`` being its word numbers."""
+def _laid_out(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, block_chars: int, row, schema: str,
+              place_col: str | None = None):
+    """``row(words, seq)`` for each document, ``seq`` being its word numbers; last the number in ``place_col``."""
     pieces = docs.sparkSession.sparkContext.broadcast(id_to_piece(tokenizer_path))
-    blocks = wordblocks.word_blocks(docs, id_col, text_col, inner_prefix=" ", block_chars=block_chars)
+    blocks = wordblocks.word_blocks(docs, id_col, text_col, inner_prefix=" ", block_chars=block_chars,
+                                   place_col=place_col)
 
     def finish(head, codes: list[bytes]) -> pd.DataFrame:
         words = _Words(codes, pieces.value)
         seqs = np.split(wordblocks.unpack_ints(head.data), np.cumsum(head.lens)[:-1])
         out = pd.DataFrame([row(words, seq) for seq in seqs], columns=[c.split()[0] for c in schema.split(", ")])
         out.insert(0, "_id", pd.array(head.ids, dtype="Int64"))
+        if place_col:
+            out["_place"] = pd.array(head.places, dtype="Int64")
         return out
 
     out = wordblocks.finish_blocks(blocks, wordblocks.coded_words(blocks, _encoder(tokenizer_path)), finish,
-                                   f"_id bigint, {schema}")
-    return out.withColumnRenamed("_id", id_col)
+                                   f"_id bigint, {schema}{', _place bigint' if place_col else ''}")
+    return out.withColumnsRenamed({"_id": id_col} | ({"_place": place_col} if place_col else {}))
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *,
-           block_chars: int = wordblocks.BLOCK_CHARS) -> DataFrame:
-    """``id_col, ids, decoded`` for each row of ``docs``: the token ids and the text decoded from them.
+           block_chars: int = wordblocks.BLOCK_CHARS, place_col: str | None = None) -> DataFrame:
+    """``id_col, ids, decoded`` for each row of ``docs``: the token ids and the text decoded from them. ``place_col``,
+    a whole number of the row, comes along as the last column.
 
     As the tokenizers library encodes the whole text without special tokens added, truncation or padding; special
     strings inside a text become their id. Null counts as empty: no ids, empty text. Rows that repeat an id, or have
     none, are encoded like others. Other columns are ignored; an empty table gives an empty result."""
     return _laid_out(docs, tokenizer_path, id_col, text_col, block_chars,
-                     lambda words, seq: (words.ids(seq), words.text(seq)), "ids array<int>, decoded string")
+                     lambda words, seq: (words.ids(seq), words.text(seq)), "ids array<int>, decoded string", place_col)
 
 
 def digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *,

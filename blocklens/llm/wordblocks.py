@@ -35,8 +35,8 @@ BETWEEN = re.compile("(?<=[^\\s▁]) (?=\\S)")
 _ASCII_BLANKS = "\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _OTHER_BLANKS = "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
-BLOCK_SCHEMA = ("kind string, block bigint, part int, ids array<bigint>, sizes array<bigint>, lens array<int>, "
-                "n_words int, data binary, parts binary")
+BLOCK_SCHEMA = ("kind string, block bigint, part int, ids array<bigint>, places array<bigint>, sizes array<bigint>, "
+                "lens array<int>, n_words int, data binary, parts binary")
 
 
 def _only_parting_spaces(text: str) -> bool:
@@ -83,11 +83,11 @@ def unpack(data: bytes, n: int) -> list[bytes]:
     return [raw[a:b] for a, b in zip([4 * n, *ends[:-1]], ends)]
 
 
-def _block(number: int, docs: list[tuple[int | None, int, np.ndarray]], words: list[str], parts: int,
+def _block(number: int, docs: list[tuple[int | None, int | None, int, np.ndarray]], words: list[str], parts: int,
            summed: bool) -> dict:
     """Columns of one block: a ``docs`` row, and a ``words`` row for each part. Words are numbered by frequency."""
-    lens = [len(seq) for _, _, seq in docs]
-    flat = np.concatenate([seq for _, _, seq in docs])
+    lens = [len(d[-1]) for d in docs]
+    flat = np.concatenate([d[-1] for d in docs])
     order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
     number_of = np.empty(len(order), np.int32)
     number_of[order] = np.arange(len(order), dtype=np.int32)
@@ -101,20 +101,20 @@ def _block(number: int, docs: list[tuple[int | None, int, np.ndarray]], words: l
             seqs += [np.diff(own, prepend=0), freq]
             at, lens[k] = at + n, len(own)
         flat = np.concatenate(seqs)
-    rows = [("docs", number, -1, [d[0] for d in docs], [d[1] for d in docs], lens, len(words), pack_ints(flat),
+    rows = [("docs", number, -1, *([d[c] for d in docs] for c in range(3)), lens, len(words), pack_ints(flat),
              pack_ints(part))]
     by_part = np.argsort(part, kind="stable")
     bounds = np.flatnonzero(np.diff(part[by_part], prepend=-1, append=parts)).tolist()
     for a, b in zip(bounds, bounds[1:]):
         chosen = by_part[a:b].tolist()
-        rows.append(("words", number, int(part[chosen[0]]), None, None, None, b - a, pack([coded[i] for i in chosen]),
+        rows.append(("words", number, int(part[chosen[0]]), None, None, None, None, b - a, pack([coded[i] for i in chosen]),
                      None))
     return dict(zip((c.split()[0] for c in BLOCK_SCHEMA.split(", ")), zip(*rows)))
 
 
 _ARROW = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("part", pa.int32()), ("ids", pa.list_(pa.int64())),
-                    ("sizes", pa.list_(pa.int64())), ("lens", pa.list_(pa.int32())), ("n_words", pa.int32()),
-                    ("data", pa.binary()), ("parts", pa.binary())])
+                    ("places", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("lens", pa.list_(pa.int32())),
+                    ("n_words", pa.int32()), ("data", pa.binary()), ("parts", pa.binary())])
 
 
 def _gather(inner_prefix: str, parts: int, block_chars: int, summed: bool):
@@ -125,20 +125,20 @@ def _gather(inner_prefix: str, parts: int, block_chars: int, summed: bool):
         def flush():
             words = [inner_prefix + w for w in inner] + list(first)
             if inner_prefix:
-                for _, _, seq in docs:
+                for *_, seq in docs:
                     seq[:1] += len(inner)
             inner.clear()
             first.clear()
             return pa.RecordBatch.from_pydict(_block((task << 32) | made, docs, words, parts, summed), schema=_ARROW)
 
         for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, place, text in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 text = text or ""
                 words = split_words(text)
                 seq = list(map(inner.__getitem__, words[1:] if inner_prefix else words))
                 if inner_prefix and words:
                     seq.insert(0, first[words[0]])
-                docs.append((doc_id, len(text) if text.isascii() else len(text.encode()), np.array(seq, np.int32)))
+                docs.append((doc_id, place, len(text) if text.isascii() else len(text.encode()), np.array(seq, np.int32)))
                 chars += len(text)
                 if chars >= block_chars:
                     yield flush()
@@ -151,12 +151,15 @@ def _gather(inner_prefix: str, parts: int, block_chars: int, summed: bool):
 
 
 def word_blocks(docs: DataFrame, id_col: str, text_col: str, *, inner_prefix: str = "", summed: bool = False,
-                parts: int | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
+                parts: int | None = None, block_chars: int = BLOCK_CHARS, place_col: str | None = None) -> DataFrame:
     """The stored block table. ``inner_prefix`` is put before every word but the first of a text, which is then told
-    apart from the others; ``summed`` keeps word frequencies of a document in place of its word sequence."""
+    apart from the others; ``summed`` keeps word frequencies of a document in place of its word sequence. A number in
+    ``place_col`` stays with its document."""
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    place = (F.col(place_col) if place_col else F.lit(None)).cast("bigint")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), place.alias("_place"),
+                       F.col(text_col).cast("string").alias("_text"))
     name = f"blocks_{uuid.uuid4().hex}"
     (rows.mapInArrow(_gather(inner_prefix, parts, block_chars, summed), BLOCK_SCHEMA).write.bucketBy(parts, "block")
      .option("path", f"{shared_folder(spark)}/{name}").option("compression", "zstd").saveAsTable(name))
@@ -190,7 +193,7 @@ def coded_words(blocks: DataFrame, encode: Callable[[], Callable[[list[str]], li
 def finish_blocks(blocks: DataFrame, codes: DataFrame, finish: Callable[[tuple, list[bytes]], pd.DataFrame],
                   schema: str) -> DataFrame:
     """``finish(docs row, codes by word number)`` for every block, each a group of a bounded size."""
-    docs = blocks.where("kind = 'docs'").select("block", "ids", "sizes", "lens", "data", "parts")
+    docs = blocks.where("kind = 'docs'").select("block", "ids", "places", "sizes", "lens", "data", "parts")
 
     def run(docs_rows: pd.DataFrame, code_rows: pd.DataFrame) -> pd.DataFrame:
         head = next(docs_rows.itertuples(index=False))

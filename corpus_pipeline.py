@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blocklens.llm import bpe, exact_dedup, mixing, near_dedup, quality
-from blocklens.llm.common import row_key, shared_folder
+from blocklens.llm.common import row_key, shared_folder, stored
 from blocklens.llm.queries import BPE_TOKENIZER, tokenizer_file
 
 
@@ -40,9 +42,27 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.in_order(docs, mixing.mix(docs))
 
 
+def in_file_order(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, position`` of a table that Spark wrote, 0 being its first row. A scan takes files in any order,
+    so rows are numbered by the task that wrote their file, the file's number in the task and the row in the file."""
+    try:
+        docs.metadataColumn("_metadata")
+    except AnalysisException:  # not a stored table
+        docs = stored(docs, "ordered")
+    at = docs.metadataColumn("_metadata")
+    rows = docs.select("doc_id", "text", at["file_name"].alias("_file"), at["row_index"].alias("_index"))
+    number = lambda form: F.regexp_extract("_file", form, 1).try_cast("bigint")
+    files = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("n")).orderBy(
+        number(r"^part-(\d+)"), number(r"-c(\d+)\."), "_file").collect()  # a row a file
+    starts = list(zip((f["_file"] for f in files), itertools.accumulate((f["n"] for f in files), initial=0)))
+    starts = docs.sparkSession.createDataFrame(starts, "_file string, _first bigint")
+    rows = rows.join(F.broadcast(starts), "_file")
+    return rows.select("doc_id", "text", (F.col("_first") + F.col("_index")).alias("position"))
+
+
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, ids, decoded``."""
-    return bpe.encode(docs, tokenizer_file(BPE_TOKENIZER))
+    """``doc_id, ids, decoded, position``: sorted by ``position`` the rows are in the order of ``docs``."""
+    return bpe.encode(in_file_order(docs), tokenizer_file(BPE_TOKENIZER), place_col="position")
 
 
 STAGES = [
@@ -58,7 +78,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, each written to the shared folder and read again."""
+    """The stages over ``documents``, each written to the shared folder and read again. Sorted by ``position`` the rows
+    are the mixture."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES[:-1]):

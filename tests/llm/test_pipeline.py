@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
+from fractions import Fraction
 
 import tokenizers
 
 import corpus_pipeline
+from blocklens.llm import mixing
 from blocklens.llm.queries import BPE_TOKENIZER, tokenizer_file
 
 from .test_group_operators import _edited, _roots
@@ -49,3 +52,37 @@ def test_pipeline(spark, tmp_path):
     want = {r.doc_id: (tok.encode(r.text or "", add_special_tokens=False).ids, r.text or "") for r in near}
     for out in (stages["BPE encoding"](spark, mixed, str(tmp_path)), corpus_pipeline.run(spark, str(tmp_path))):
         assert {r.doc_id: (list(r.ids), r.decoded) for r in out.collect()} == want
+
+
+def test_mixture_reaches_the_result(spark, tmp_path, monkeypatch):
+    """With one block a document, the sources of the result's rows take turns as brute force has it."""
+    monkeypatch.setattr(mixing.mix, "__kwdefaults__", mixing.mix.__kwdefaults__ | {"block_bytes": 1})
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[3:])
+    source = {i: "a" if i < 400 else "b" if i < 425 else "c" for i in range(525)}  # weights 20, 5, 10
+    spark.createDataFrame([(i, chr(33 + i % 90), s) for i, s in source.items()],
+                          "doc_id bigint, text string, source string").repartition(7).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        rows = sorted(corpus_pipeline.run(spark, str(tmp_path)).collect(), key=lambda r: r.position)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.position for r in rows] == list(range(525)) and {r.doc_id for r in rows} == set(source)
+    left, weight, want = Counter(source.values()), {"a": 20, "b": 5, "c": 10}, Counter()
+    seen = Counter()
+    for r in rows:
+        live, room = [s for s in left if want[s] < left[s]], Fraction(1)
+        while room and live:
+            total = sum(weight[s] for s in live)
+            step = min([room, *(Fraction(left[s] - want[s]) * total / weight[s] for s in live)])
+            want.update({s: step * weight[s] / total for s in live})
+            room, live = room - step, [s for s in live if want[s] < left[s]]
+        seen[source[r.doc_id]] += 1
+        assert all(abs(seen[s] - want[s]) < 1 for s in left)
+
+
+def test_rows_are_numbered_in_the_order_of_the_files(spark, tmp_path):
+    rows = spark.range(1000, numPartitions=4).selectExpr("999 - id AS doc_id", "string(id) AS text")
+    rows.write.option("maxRecordsPerFile", 30).parquet(f"{tmp_path}/t")
+    for docs in (rows, spark.read.parquet(f"{tmp_path}/t")):
+        got = corpus_pipeline.in_file_order(docs).collect()
+        assert sorted((r.position, r.doc_id, r.text) for r in got) == [(i, 999 - i, str(i)) for i in range(1000)]
