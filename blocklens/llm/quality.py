@@ -53,9 +53,10 @@ def features(text: str | None) -> list[float]:
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [features(text) for text in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_pydict({"label": batch.column(0), "x": rows},
-                                         schema=pa.schema([("label", pa.int32()), ("x", pa.list_(pa.float64()))]))
+        rows = [features(text) for text in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_pydict({"n": batch.column(0), "label": batch.column(1), "x": rows},
+                                         schema=pa.schema([("n", pa.int64()), ("label", pa.int32()),
+                                                           ("x", pa.list_(pa.float64()))]))
 
 
 @dataclass
@@ -170,14 +171,16 @@ def held_out(id_col: str) -> Column:
 
 def fit_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               label_col: str = "quality", *, fit_rows: int = FIT_ROWS) -> Model:
-    """Learns from labelled rows that are not held out, ``fit_rows`` of them at most. Null labels are left out; an id
-    with several labels takes the largest."""
+    """Learns from labelled documents that are not held out, ``fit_rows`` of them at most. Null labels are left out; an
+    id with several labels takes the largest, one with several texts the smallest row of features."""
     known = (labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
-             .where(F.col("_label").isNotNull() & ~held_out("_id")).groupBy("_id").agg(F.max("_label").alias("_label"))
-             .orderBy(F.xxhash64("_id"), "_id").limit(fit_rows))
+             .where(F.col("_label").isNotNull() & ~held_out("_id")).groupBy("_id").agg(F.max("_label").alias("_label")))
+    there = docs.select(F.col(id_col).alias("_id")).distinct()
+    known = known.join(there, "_id", "left_semi").orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    rows = rows.join(F.broadcast(known), "_id").select("_label", "_text")  # at most fit_rows ids
-    sample = rows.mapInArrow(_feature_rows, "label int, x array<double>").toPandas()
+    rows = rows.join(F.broadcast(known.withColumn("_n", F.monotonically_increasing_id())), "_id")  # at most fit_rows ids
+    sample = (rows.select("_n", "_label", "_text").mapInArrow(_feature_rows, "n bigint, label int, x array<double>")
+              .groupBy("n", "label").agg(F.min("x").alias("x")).toPandas())
     if sample.empty:
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     order = np.lexsort(np.stack(sample["x"]).T)  # the fit doesn't depend on the order of rows

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter
 from fractions import Fraction
 
@@ -216,3 +217,17 @@ def test_quality(spark, odd_docs, no_docs):
     odd = quality.quality(odd_docs, labels.limit(0)).collect()
     assert len(odd) == len(TEXTS) and all(r.score == 0.5 and r.predicted == 1 for r in odd)
     assert quality.quality(no_docs, labels).count() == 0
+
+
+def test_quality_learns_from_one_row_an_id(spark, monkeypatch):
+    """Ids that repeat and labels without a document, against a bound on the rows."""
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append((sorted(map(tuple, x)), y.sum())))
+    texts = [(0, f"hot {'word ' * n}") for n in range(300)] + [(i, f"text{'!' * i} one") for i in range(3, 90)]
+    docs, taught = spark.createDataFrame(texts, TEXT), [i for i in range(90) if zlib.crc32(str(i).encode()) % 3 != 1]
+    labels = spark.createDataFrame([(i, 1) for i in range(2000)], "doc_id bigint, quality int")
+    one = {i: min(tuple(quality.features(t)) for j, t in texts if j == i) for i in {i for i, _ in texts}}
+    quality.fit_model(docs, labels)
+    assert seen[0] == (sorted(one[i] for i in taught if i in one), sum(i in one for i in taught)) and 0 in taught
+    quality.fit_model(docs, labels, fit_rows=20)
+    assert len(seen[1][0]) == 20 and set(seen[1][0]) <= set(seen[0][0])
