@@ -1,13 +1,13 @@
 """Similarity scores on a 0..100 scale.
 
-``ratio`` against a literal query stays in the JVM: a bit-parallel longest common subsequence folded
-over the characters. Scores between two columns, and partial scores, are Arrow batches; a batch scores
-each distinct string once, so repeated labels cost one computation."""
+Scores against a literal query stay in the JVM: a bit-parallel longest common subsequence folded over the characters,
+for queries of any length, and token sets as arrays. Partial scores and scores between two columns are Arrow batches;
+a batch scores each distinct string once, so repeated labels cost one computation."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,7 +15,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_NATIVE_QUERY = 62
+from .text import WS
+
+WORD_BITS = 60
 
 
 # ---- small helpers used inside tasks ------------------------------------------------------------
@@ -54,29 +56,6 @@ def partial_ratio_text(a: str, b: str) -> float:
     return best
 
 
-def token_set_ratio_text(a: str, b: str) -> float:
-    ta, tb = set(a.split()), set(b.split())
-    if not ta or not tb:
-        return 0.0
-    both, da, db = ta & tb, sorted(ta - tb), sorted(tb - ta)
-    if both and (not da or not db):
-        return 100.0
-    ja, jb = " ".join(da), " ".join(db)
-    sect = len(" ".join(sorted(both)))
-    gap = 1 if sect else 0
-    la, lb = sect + gap + len(ja), sect + gap + len(jb)
-    dist = len(ja) + len(jb) - 2 * lcs_length(ja, jb)
-    best = 100.0 * (1.0 - dist / (la + lb)) if la + lb else 100.0
-    if not sect:
-        return best
-    return max(best, 100.0 * (1.0 - (gap + len(ja)) / (sect + la)),
-               100.0 * (1.0 - (gap + len(jb)) / (sect + lb)))
-
-
-def token_sort_ratio_text(a: str, b: str) -> float:
-    return ratio_text(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
-
-
 def _best_window(pattern: str, texts: Sequence[str]) -> np.ndarray:
     """Best window score of ``pattern`` (not empty) over texts that are at least as long.
 
@@ -155,24 +134,70 @@ def _per_distinct(s: pd.Series, fn) -> pd.Series:
 
 # ---- Column API ---------------------------------------------------------------------------------
 
-def ratio(c: Column, q: str) -> Column:
-    """Normalised similarity of ``c`` to a literal."""
-    if not q or len(q) > MAX_NATIVE_QUERY:
-        return ratio_columns(c, F.lit(q))
+def _position_bits(q: str) -> dict[str, int]:
     bits: dict[str, int] = {}
     for i, ch in enumerate(q):
         bits[ch] = bits.get(ch, 0) | (1 << i)
-    table = F.create_map(*[F.lit(x) for ch, b in bits.items() for x in (ch, b)]).cast("map<string,bigint>")
-    full = F.lit((1 << len(q)) - 1).cast("bigint")
+    return bits
+
+
+def _words_of(bits: int, n: int) -> list[int]:
+    return [(bits >> (WORD_BITS * w)) & ((1 << WORD_BITS) - 1) for w in range(n)]
+
+
+def _long(x: int) -> Column:
+    return F.lit(x).cast("bigint")
+
+
+def lcs(c: Column, q: str, keep: Sequence[Column] | None = None) -> Column:
+    """Length of the longest common subsequence of ``c`` and a literal of any length, folded over the characters of
+    ``c``. The positions of the literal are bits of as many words as it needs; an addition carries from word to word.
+    ``keep`` (one word each) can switch positions off: they then match nothing, as if they were not there."""
+    n = -(-len(q) // WORD_BITS)
+    full = _words_of((1 << len(q)) - 1, n)
+    table = [(ch, _words_of(b, n)) for ch, b in _position_bits(q).items()]
+    chars = F.split(c, "")
+
+    if n == 1:
+        masks = F.create_map(*[x for ch, b in table for x in (F.lit(ch), _long(b[0]))])
+
+        def step(v: Column, ch: Column) -> Column:
+            m = F.coalesce(F.try_element_at(masks, ch), _long(0))
+            u = v.bitwiseAND(m if keep is None else m.bitwiseAND(keep[0]))
+            return (v + u).bitwiseOR(v - u).bitwiseAND(_long(full[0]))
 
-    def step(v: Column, ch: Column) -> Column:
-        u = v.bitwiseAND(F.coalesce(F.try_element_at(table, ch), F.lit(0).cast("bigint")))
-        return (v + u).bitwiseOR(v - u).bitwiseAND(full)
+        return F.lit(len(q)) - F.bit_count(F.aggregate(chars, _long(full[0]), step))
 
-    left = F.aggregate(F.split(c, ""), full, step)
-    lcs = F.lit(len(q)) - F.bit_count(left)
+    masks = F.create_map(*[x for ch, b in table for x in (F.lit(ch), F.array(*[_long(w) for w in b]))])
+    none = F.array(*[_long(0)] * n)
+    limits, kept = F.array(*[_long(w) for w in full]), F.array(*keep) if keep else None
+    start = F.struct(_long(0).alias("carry"), F.array().cast("array<bigint>").alias("out"))
+
+    def long_step(v: Column, ch: Column) -> Column:
+        m = F.coalesce(F.try_element_at(masks, ch), none)
+        u = F.zip_with(v, m, lambda x, y: x.bitwiseAND(y))
+        if kept is not None:
+            u = F.zip_with(u, kept, lambda x, y: x.bitwiseAND(y))
+        rows = F.zip_with(F.zip_with(v, u, lambda x, y: F.struct(x.alias("v"), y.alias("u"))), limits,
+                          lambda r, lim: F.struct(r["v"].alias("v"), r["u"].alias("u"), lim.alias("lim")))
+
+        def add(acc: Column, r: Column) -> Column:
+            total = r["v"] + r["u"] + acc["carry"]
+            word = total.bitwiseOR(r["v"] - r["u"]).bitwiseAND(r["lim"])
+            return F.struct(F.shiftright(total, WORD_BITS).alias("carry"), F.concat(acc["out"], F.array(word)).alias("out"))
+
+        return F.aggregate(rows, start, add)["out"]
+
+    left = F.aggregate(chars, limits, long_step)
+    return F.lit(len(q)) - F.aggregate(left, F.lit(0), lambda s, w: s + F.bit_count(w))
+
+
+def ratio(c: Column, q: str) -> Column:
+    """Normalised similarity of ``c`` to a literal."""
     total = F.lit(len(q)) + F.length(c)
-    return F.lit(100.0) * (F.lit(1.0) - (total - lcs * 2) / total)
+    if not q:
+        return F.when(c == "", F.lit(100.0)).when(c != "", F.lit(0.0))
+    return F.lit(100.0) * (F.lit(1.0) - (total - lcs(c, q) * 2) / total)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -255,30 +280,62 @@ def alignment_score(value: Column, text: Column) -> Column:
     return _align_udf(F.lower(value), F.lower(text))
 
 
+def _tokens(c: Column) -> Column:
+    return F.filter(F.split(c, rf"(?U){WS}+"), lambda t: t != "")
+
+
 def token_sort_ratio(c: Column, q: str) -> Column:
-    def canon(x: Column) -> Column:
-        return F.array_join(F.sort_array(F.filter(F.split(x, r"(?U)\s+"), lambda t: t != "")), " ")
-    return ratio(canon(c), " ".join(sorted(q.split())))
+    return ratio(F.array_join(F.sort_array(_tokens(c)), " "), " ".join(sorted(q.split())))
 
 
 def token_set_ratio(c: Column, q: str) -> Column:
-    @F.pandas_udf(T.DoubleType())
-    def udf(s: pd.Series) -> pd.Series:
-        return _per_distinct(s, lambda ts: [token_set_ratio_text(q, t) for t in ts]).astype("float64")
-    return udf(c)
+    """Best score of the common tokens, with what either side has beyond them, against each other.
+
+    Tokens are arrays; only what the two sides don't share is compared character by character. Of the literal's
+    tokens those not shared are positions that stay switched on in the sorted literal."""
+    own = sorted(set(q.split()))
+    if not own:
+        return F.when(c.isNotNull(), F.lit(0.0))
+    whole = " ".join(own)
+    n = -(-len(whole) // WORD_BITS)
+    theirs = F.array(*[F.lit(t) for t in own])
+    places, at = [], 0
+    for t in own:
+        token = ((1 << len(t)) - 1) << at
+        places.append((t, _words_of(token, n), _words_of(token | (1 << at >> 1 if at else 0), n)))
+        at += len(t) + 1
+
+    def score(p: Column) -> Column:
+        rest, mine = p["rest"], p["mine"]
+        first = F.get(rest, F.lit(0))
+        keep = [reduce(Column.__add__, [F.when(F.array_contains(rest, t), F.when(first == t, _long(alone[w])).otherwise(
+            _long(behind[w]))).otherwise(_long(0)) for t, alone, behind in places]) for w in range(n)]
+        n_a, n_b, sect = F.length(mine), F.length(F.array_join(rest, " ")), p["sect"]
+        gap = F.when(sect > 0, 1).otherwise(0)
+        la, lb = sect + gap + n_a, sect + gap + n_b
+        both = lambda far, size: F.lit(100.0) * (F.lit(1.0) - far / size)
+        rests = both(n_a + n_b - lcs(mine, whole, keep) * 2, la + lb)
+        return (F.when(p["size"] == 0, 0.0).when((sect > 0) & ((n_a == 0) | (n_b == 0)), 100.0)
+                .when(sect == 0, rests).otherwise(F.greatest(rests, both(gap + n_a, sect + la), both(gap + n_b, sect + lb))))
+
+    def parts(t: Column) -> Column:
+        shared = F.array_join(F.array_intersect(t, theirs), " ")
+        return F.struct(F.size(t).alias("size"), F.length(shared).alias("sect"), F.array_except(theirs, t).alias("rest"),
+                        F.array_join(F.sort_array(F.array_except(t, theirs)), " ").alias("mine"))
+
+    # One-element arrays: the parts are computed once and bound by the lambda.
+    bound = F.transform(F.transform(F.array(_tokens(c)), parts), score)
+    return F.when(c.isNotNull(), F.get(bound, F.lit(0)))
 
 
 def concept_scores(texts: Column, concepts: Sequence[str]) -> Column:
     """array<double>: for each concept the best token-set ratio over an array of strings."""
-    cs = [c.lower() for c in concepts]
+    low = F.array_distinct(F.transform(texts, F.lower))
 
-    @F.pandas_udf("array<double>")
-    def udf(s: pd.Series) -> pd.Series:
-        def score(keys):
-            return [[max((token_set_ratio_text(c, t) for t in k), default=0.0) for c in cs] for k in keys]
-        return _per_distinct(s.map(lambda a: None if a is None else tuple(a)), score)
+    def best(q: str) -> Column:
+        return F.coalesce(F.array_max(F.transform(low, lambda t: token_set_ratio(t, q))), F.lit(0.0))
 
-    return udf(F.transform(texts, F.lower))
+    return F.array(*[best(c.lower()) for c in concepts])
 
 
 def keyword_similarity(c: Column, q: str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import CONCEPTS, DIGIT_QUERIES, PHRASES, WORD_QUERIES
+from .queries import CONCEPTS, DIGIT_QUERIES, PHRASES, TYPED, WORD_QUERIES
 
 W = r"[\p{L}\p{N}\p{M}]"
 
@@ -113,6 +113,69 @@ q AS (SELECT item_id * 100000 + n AS query_id, trim(raw) AS raw, lower(trim(raw)
     return f"WITH {ctes} SELECT {HIT} FROM hit WHERE match_type = 'exact'"
 
 
+def q_table() -> str:
+    """Words are single blocks; a page is one line. Stages: word (exact, loose, digits), then phrase, phrase without
+    blanks, digits over the page."""
+    typed = ", ".join(f"({-1 - i}, '{t}')" for i, t in enumerate(TYPED))
+    digit_at = "list_filter(range(1, length({0}) + 1), lambda p: regexp_matches(substr({0}, p, 1), '\\d'))"
+    return f"""WITH {words(15)},
+qt AS (SELECT item_id, unnest(string_split(text, '. ')) AS raw, unnest(range(len(string_split(text, '. ')))) AS n FROM benchmark),
+q AS (SELECT query_id, raw, lower(raw) AS low, norm, replace(norm, ' ', '') AS g, regexp_replace(raw, '\\D', '', 'g') AS d,
+        NOT contains(raw, ' ') AS single
+      FROM (SELECT query_id, raw, {NORM.format('raw')} AS norm FROM (
+        SELECT item_id * 100000 + n AS query_id, trim(raw) AS raw FROM qt
+        UNION ALL SELECT * FROM (VALUES {typed}) v(query_id, raw)) WHERE raw <> '') WHERE norm <> ''),
+nw AS (SELECT *, length(text) AS n, {NORM.format('text')} AS nt, regexp_replace(text, '\\D', '', 'g') AS ds FROM wb),
+b1 AS (SELECT doc_id, page, query_id, text, n, x0, x1, y0, y1, instr(lower(text), low) - 1 AS i, length(raw) AS m
+       FROM nw, q WHERE NOT contains(low, ' ') AND contains(lower(text), low)),
+b2 AS (SELECT *, {_whole('text', 'i', 'm')} AS whole FROM b1),
+dq AS (SELECT *, '(?s)^((?:.*?\\D)??)(' || array_to_string(string_split(d, ''), '\\D*') || ')(?:\\D|$)' AS pat FROM q WHERE length(d) >= 2),
+b3 AS (SELECT doc_id, page, query_id, text, n, x0, x1, y0, y1, length(regexp_extract(text, pat, 1)) AS i,
+         length(regexp_extract(text, pat, 2)) AS m FROM nw, dq WHERE ds <> '' AND regexp_matches(text, pat)),
+bh AS (
+  SELECT doc_id, page, query_id, x0 + (x1 - x0) * (i / n) AS x0, y0, x0 + (x1 - x0) * ((i + m) / n) AS x1, y1,
+    {_snip('text', 'i', 'm', 10)} AS snippet, mt AS match_type, stage FROM (
+    SELECT * EXCLUDE (whole), CASE WHEN whole THEN 'exact' ELSE 'exact_loose' END AS mt, CASE WHEN whole THEN 1 ELSE 2 END AS stage
+    FROM b2 WHERE whole OR m >= 3
+    UNION ALL SELECT *, 'digit_formatted', 3 FROM b3)),
+pos AS (
+  SELECT *, CAST(coalesce(sum(length(nt) + 1) OVER v, 0) AS BIGINT) AS s0, CAST(coalesce(sum(length(nt)) OVER v, 0) AS BIGINT) AS z0,
+    CAST(coalesce(sum(length(ds)) OVER v, 0) AS BIGINT) AS d0
+  FROM nw WINDOW v AS (PARTITION BY doc_id, page ORDER BY block_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ln AS (SELECT doc_id, page, string_agg(nt, ' ' ORDER BY block_seq) AS txt, string_agg(nt, '' ORDER BY block_seq) AS nsp,
+         string_agg(ds, '' ORDER BY block_seq) AS dsp FROM pos GROUP BY ALL),
+m1 AS (SELECT doc_id, page, txt, query_id, 1 AS kind, CASE WHEN single THEN 'line_merged_word' ELSE 'line' END AS match_type,
+         length(norm) AS m, length(regexp_extract(txt, pat, 1)) AS i
+       FROM ln, (SELECT *, '(?s)^((?:.*?{W.replace('[', '[^')})??)' || regexp_escape(norm) || '(?:{W.replace('[', '[^')}|$)' AS pat FROM q) q
+       WHERE contains(txt, norm) AND regexp_matches(txt, pat) AND (length(norm) >= 2 OR NOT single)),
+m2 AS (SELECT doc_id, page, txt, query_id, 2 AS kind, 'line_nospace' AS match_type, length(g) AS m, instr(nsp, g) - 1 AS i
+       FROM ln, q WHERE length(g) >= 3 AND contains(nsp, g) AND {_whole('nsp', '(instr(nsp, g) - 1)', 'length(g)')}),
+m3 AS (SELECT doc_id, page, txt, query_id, 3 AS kind, 'line_digits' AS match_type, length(d) AS m, instr(dsp, d) - 1 AS i
+       FROM ln, dq WHERE contains(dsp, d)),
+e3 AS (SELECT doc_id, page, query_id,
+         bool_and(CASE WHEN i >= d0 THEN NOT regexp_matches(substr(' ' || text, da[i - d0 + 1], 1), '\\d') ELSE true END
+           AND CASE WHEN i + m <= d0 + length(ds) THEN NOT regexp_matches(substr(text, da[i + m - d0] + 1, 1), '\\d') ELSE true END) AS ok
+       FROM m3 JOIN (SELECT *, {digit_at.format('text')} AS da FROM pos WHERE ds <> '') p USING (doc_id, page)
+       WHERE i < d0 + length(ds) AND i + m > d0 GROUP BY ALL),
+mm AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, query_id ORDER BY kind) AS rn FROM (
+         SELECT * FROM m1 UNION ALL SELECT * FROM m2
+         UNION ALL SELECT m3.* FROM m3 SEMI JOIN (SELECT * FROM e3 WHERE ok) k USING (doc_id, page, query_id))),
+cut AS (
+  SELECT mm.doc_id, mm.page, query_id, match_type, kind, txt, text, x0, x1, y0, y1, length(nt) AS ln, ds, i, m,
+    CASE kind WHEN 1 THEN s0 WHEN 2 THEN z0 ELSE d0 END AS o,
+    CASE kind WHEN 3 THEN length(ds) ELSE length(nt) END AS k
+  FROM mm JOIN pos USING (doc_id, page) WHERE rn = 1),
+ab AS (SELECT *, greatest(i, o) - o AS a0, least(i + m, o + k) - o AS a1, {digit_at.format('text')} AS da FROM cut WHERE least(i + m, o + k) > greatest(i, o)),
+lh AS (
+  SELECT doc_id, page, query_id,
+    min(x0 + (x1 - x0) * CASE kind WHEN 3 THEN (da[a0 + 1] - 1) / length(text) ELSE a0 / ln END) AS x0, min(y0) AS y0,
+    max(x0 + (x1 - x0) * CASE kind WHEN 3 THEN da[a1] / length(text) ELSE a1 / ln END) AS x1, max(y1) AS y1,
+    substr(any_value(txt), 1, 120) AS snippet, any_value(match_type) AS match_type, 4 AS stage
+  FROM ab GROUP BY doc_id, page, query_id)
+SELECT doc_id, page, query_id, x0, y0, x1, y1, snippet, 'ocr' AS source, match_type
+FROM (SELECT *, min(stage) OVER (PARTITION BY doc_id, query_id) AS s FROM (SELECT * FROM bh UNION ALL SELECT * FROM lh)) WHERE stage = s"""
+
+
 def q_exact_loose() -> str:
     return f"WITH {_exact_ctes(WORD_QUERIES)} SELECT {HIT} FROM hit WHERE match_type = 'exact_loose'"
 

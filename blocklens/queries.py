@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from .functions import geometry as geo
 from .functions import similarity as sim
 from .functions import text as tx
-from .operators import embedded, fields, folder, hits, layout, ocr, review, search, verify
+from .operators import embedded, fields, folder, hits, layout, ocr, review, search, search_table, verify
 from .plans import derive, stage
 from .sources import tables
 
 WORD_QUERIES = ["that", "etre", "The and", "thaner", "10"]
 DIGIT_QUERIES = ["1997/05 28", "(0000) 0100", "0000.7919"]
 PHRASES = ["the and", "thaner", "los de", "und der"]
+TYPED = [*WORD_QUERIES, *PHRASES, "55501", "1 5", "mentrel le", "000 1"]
 CONCEPTS = ["policy number", "Order Date", "member name", "signature", "first name"]
 BOX = ["x0", "y0", "x1", "y1"]
 
@@ -71,6 +72,15 @@ def q_many(spark, sf):
     return _hit_view(search.search_many(_lines(spark, sf), asked))
 
 
+def q_table(spark, sf):
+    """The cascade up to the merged lines for a table of queries: every sentence of the benchmark texts, words, phrases
+    and numbers, looked up in pages of words whose rows lie so close that a page is one line."""
+    b = derive.table(spark, sf, "benchmark").select("item_id", F.posexplode(F.split("text", r"\. ")).alias("n", "text"))
+    asked = b.select((F.col("item_id") * 100000 + F.col("n")).alias("query_id"), "text")
+    typed = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(TYPED)], "query_id bigint, text string")
+    return _hit_view(search_table.search_table(_words(spark, sf, 15), asked.unionByName(typed)))
+
+
 def q_exact_loose(spark, sf):
     return _hit_view(search.search_exact_loose(_lines(spark, sf), WORD_QUERIES))
 
@@ -500,7 +510,7 @@ def t_labels(spark, sf):
 
 
 NAMES = [
-    "q_exact", "q_many", "q_exact_loose", "q_digits", "q_cascade", "q_boundary_positions", "q_merged_line", "q_line_page",
+    "q_exact", "q_many", "q_table", "q_exact_loose", "q_digits", "q_cascade", "q_boundary_positions", "q_merged_line", "q_line_page",
     "q_fuzzy_ratio", "q_fuzzy_tokens", "q_fuzzy_lev", "q_token_set", "q_partial", "q_score_lines", "q_best_block",
     "q_hit_stats", "q_hit_order", "q_embedded", "q_embedded_lines", "q_hybrid", "q_priority", "q_highlight",
     "d_grid", "d_greedy", "l_reading_order", "l_lines", "l_lines_tight", "l_paragraphs", "l_pages", "l_readable",

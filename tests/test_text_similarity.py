@@ -107,8 +107,51 @@ def test_known_ratios(spark, a, b, want):
 @pytest.mark.parametrize("c, label, want", [
     ("date of birth", "date of birth", 100), ("birth date", "date of birth", 100), ("policy no", "policy number", 80.0),
     ("first name", "member name", 57.1), ("dob", "date of birth", 25.0), ("", "x", 0)])
-def test_token_set(c, label, want):
-    assert sim.token_set_ratio_text(c, label) == pytest.approx(want, abs=0.05)
+def test_token_set(spark, c, label, want):
+    assert one(spark, sim.token_set_ratio(F.lit(label), c)) == pytest.approx(want, abs=0.05)
+
+
+def plain_token_set(a, b):
+    ta, tb = set(a.split()), set(b.split())
+    if not ta or not tb:
+        return 0.0
+    both = " ".join(sorted(ta & tb))
+    mine, rest = sorted(ta - tb), sorted(tb - ta)
+    if both and not (mine and rest):
+        return 100.0
+    left, right = " ".join([*([both] if both else []), *mine]), " ".join([*([both] if both else []), *rest])
+    # The shared head matches itself, so only what follows it is aligned.
+    head = len(both) + 1 if both else 0
+    close = 100.0 * (1 - (len(left) + len(right) - 2 * (head + lcs(left[head:], right[head:]))) / (len(left) + len(right)))
+    return max(close, plain_ratio(both, left), plain_ratio(both, right)) if both else close
+
+
+def test_token_scores_against_plain_sets(spark):
+    rng = random.Random(6)
+    words = ["ab", "abc", "b", "é", "cab", "abba", "bb", "a" * 40]
+    def text():
+        return "".join(rng.choice(words) + rng.choice([" ", "  ", "\t", "\u2003"]) for _ in range(rng.randint(0, 6)))
+    texts = [text() for _ in range(80)] + ["", " "]
+    d = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    for q in ("ab", "abba b", "bb b ab cab", " ".join(words), ""):
+        got = d.select("t", sim.token_set_ratio(F.col("t"), q).alias("s"), sim.token_sort_ratio(F.col("t"), q).alias("o"),
+                       sim.concept_scores(F.array("t", F.lit("B abba")), [q, "cab"]).alias("c")).collect()
+        for r in got:
+            assert r.s == pytest.approx(plain_token_set(q, r.t)), (q, r.t)
+            assert r.o == pytest.approx(plain_ratio(" ".join(sorted(r.t.split())), " ".join(sorted(q.split()))))
+            assert r.c == pytest.approx([max(plain_token_set(k, r.t), plain_token_set(k, "b abba")) for k in (q, "cab")])
+    assert one(spark, sim.token_set_ratio(F.lit(None).cast("string"), "a")) is None
+
+
+def test_long_queries(spark):
+    """Queries of one word of bits, exactly two, and more."""
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abc ") for _ in range(rng.randint(0, 150))) for _ in range(25)] + [""]
+    d = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    for n in (59, 60, 61, 120, 121, 190):
+        q = "".join(rng.choice("abcd ") for _ in range(n))
+        for r in d.select("t", sim.ratio(F.col("t"), q).alias("r")).collect():
+            assert r.r == pytest.approx(plain_ratio(q, r.t)), n
 
 
 def test_reply_objects(spark):
