@@ -144,21 +144,24 @@ pos AS (
   FROM nw WINDOW v AS (PARTITION BY doc_id, page ORDER BY block_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 ln AS (SELECT doc_id, page, string_agg(nt, ' ' ORDER BY block_seq) AS txt, string_agg(nt, '' ORDER BY block_seq) AS nsp,
          string_agg(ds, '' ORDER BY block_seq) AS dsp FROM pos GROUP BY ALL),
+oq AS (SELECT ln.*, q.* FROM ln, q WHERE contains(nsp, g) OR (d <> '' AND contains(dsp, d))),
+lq AS (SELECT * FROM oq WHERE NOT EXISTS (SELECT 1 FROM bh WHERE bh.doc_id = oq.doc_id AND bh.query_id = oq.query_id)),
 m1 AS (SELECT doc_id, page, txt, query_id, 1 AS kind, CASE WHEN single THEN 'line_merged_word' ELSE 'line' END AS match_type,
-         length(norm) AS m, length(regexp_extract(txt, pat, 1)) AS i
-       FROM ln, (SELECT *, '(?s)^((?:.*?{W.replace('[', '[^')})??)' || regexp_escape(norm) || '(?:{W.replace('[', '[^')}|$)' AS pat FROM q) q
-       WHERE contains(txt, norm) AND regexp_matches(txt, pat) AND (length(norm) >= 2 OR NOT single)),
+         length(norm) AS m, CASE WHEN {_whole('txt', '(instr(txt, norm) - 1)', 'length(norm)')} THEN instr(txt, norm) - 1 ELSE
+           list_min(list_filter(range(length(txt) - length(norm) + 1), lambda p: substr(txt, p + 1, length(norm)) = norm
+             AND {_whole('txt', 'p', 'length(norm)')})) END AS i
+       FROM lq WHERE contains(txt, norm) AND (length(norm) >= 2 OR NOT single)),
 m2 AS (SELECT doc_id, page, txt, query_id, 2 AS kind, 'line_nospace' AS match_type, length(g) AS m, instr(nsp, g) - 1 AS i
-       FROM ln, q WHERE length(g) >= 3 AND contains(nsp, g) AND {_whole('nsp', '(instr(nsp, g) - 1)', 'length(g)')}),
+       FROM lq WHERE length(g) >= 3 AND contains(nsp, g) AND {_whole('nsp', '(instr(nsp, g) - 1)', 'length(g)')}),
 m3 AS (SELECT doc_id, page, txt, query_id, 3 AS kind, 'line_digits' AS match_type, length(d) AS m, instr(dsp, d) - 1 AS i
-       FROM ln, dq WHERE contains(dsp, d)),
+       FROM lq WHERE length(d) >= 2 AND contains(dsp, d)),
 e3 AS (SELECT doc_id, page, query_id,
          bool_and(CASE WHEN i >= d0 THEN NOT regexp_matches(substr(' ' || text, da[i - d0 + 1], 1), '\\d') ELSE true END
            AND CASE WHEN i + m <= d0 + length(ds) THEN NOT regexp_matches(substr(text, da[i + m - d0] + 1, 1), '\\d') ELSE true END) AS ok
        FROM m3 JOIN (SELECT *, {digit_at.format('text')} AS da FROM pos WHERE ds <> '') p USING (doc_id, page)
        WHERE i < d0 + length(ds) AND i + m > d0 GROUP BY ALL),
 mm AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, query_id ORDER BY kind) AS rn FROM (
-         SELECT * FROM m1 UNION ALL SELECT * FROM m2
+         SELECT * FROM m1 WHERE i IS NOT NULL UNION ALL SELECT * FROM m2
          UNION ALL SELECT m3.* FROM m3 SEMI JOIN (SELECT * FROM e3 WHERE ok) k USING (doc_id, page, query_id))),
 cut AS (
   SELECT mm.doc_id, mm.page, query_id, match_type, kind, txt, text, x0, x1, y0, y1, length(nt) AS ln, ds, i, m,
