@@ -37,8 +37,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for vec_id, label, values in zip(*(c.to_pylist() for c in batch.columns)):
             vec = np.array([np.nan if v is None else v for v in values or ()], np.float64)
-            norm = float(np.sqrt(vec @ vec)) if len(vec) else 0.0
-            if vec_id is None or label is None or not np.isfinite(norm) or norm == 0:
+            if vec_id is None or label is None or not np.isfinite(vec).all() or not vec.any():
                 rows.append((vec_id, label, None, None, None, None))
             else:
                 d1, d2 = np.frombuffer(xxhash.xxh3_128_digest(vec.tobytes()), np.int64).tolist()
@@ -49,6 +48,8 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _unit(column: pd.Series) -> np.ndarray:
     rows = np.stack([np.frombuffer(v, np.float64) for v in column])
+    _, size = np.frexp(np.abs(rows).max(axis=1, keepdims=True))
+    rows = np.ldexp(rows, -size)  # by powers of two, exactly: no square over- or underflows
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
@@ -102,7 +103,7 @@ def _compared(min_cosine: float):
         same = not group["other"].iloc[0] and group["i"].iloc[0] == group["j"].iloc[0]
         left = group[first]
         right = left if same else group[~first]
-        out = {"id": [], "n": [], "root": []}
+        out = {c: [] for c in ("id", "d1", "d2", "n", "root")}
         if len(left) and len(right):
             u, v = _unit(left["vec"]), _unit(right["vec"])
             linked = u @ v.T >= min_cosine
@@ -110,13 +111,15 @@ def _compared(min_cosine: float):
                 np.fill_diagonal(linked, False)
             ids = [left["id"].to_numpy(), right["id"].to_numpy()]
             roots = local_roots(linked, *ids)
-            sides = ((linked, right, ids[0], roots[0]), (linked.T, left, ids[1], roots[1]))
-            for hits, others, own, root in sides[:1] if same else sides:
+            sides = ((linked, left, right, roots[0]), (linked.T, right, left, roots[1]))
+            for hits, mine, others, root in sides[:1] if same else sides:
                 n = hits.astype(np.int64) @ others["copies"].to_numpy()
-                out["id"].append(own[n > 0])
+                for c in ("id", "d1", "d2"):
+                    out[c].append(mine[c].to_numpy()[n > 0])
                 out["n"].append(n[n > 0])
                 out["root"].append(root[n > 0])
-        return pd.DataFrame({k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in out.items()})
+        out = pd.DataFrame({k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in out.items()})
+        return out.assign(label=group["label"].iloc[0])
 
     return run
 
@@ -141,8 +144,8 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     centroids = spark.sparkContext.broadcast(
         {int(dim): fit_centroids(_unit(part["vec"]), max(cells, 1)) for dim, part in sample.groupby("dim")})
     reach = float(np.sqrt(2 - 2 * min_cosine))
-    placed = classes.select("id", "label", "dim", "copies", "vec").mapInPandas(
-        _placed(centroids, reach), "id bigint, label string, dim int, copies bigint, vec binary, cell int, visits boolean")
+    placed = classes.select("id", "label", "dim", "d1", "d2", "copies", "vec").mapInPandas(
+        _placed(centroids, reach), "id bigint, label string, dim int, d1 bigint, d2 bigint, copies bigint, vec binary, cell int, visits boolean")
     placed = stored(placed, "placed")
 
     key = ["label", "dim", "cell"]
@@ -159,13 +162,14 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     visiting = F.transform(F.sequence(F.lit(0), F.col("own") - 1), lambda k: pair(k, mine, True))
     pairs = F.when(F.col("visits"), visiting).otherwise(F.concat(among, hosting))
     groups = dealt.withColumn("_pair", F.explode(pairs)).select(
-        *key, "_pair.i", "_pair.j", "_pair.other", "id", "copies", "vec", "visits", "block")
+        *key, "_pair.i", "_pair.j", "_pair.other", "id", "d1", "d2", "copies", "vec", "visits", "block")
     found = stored(groups.groupBy(*key, "i", "j", "other").applyInPandas(
-        _compared(min_cosine), "id bigint, n bigint, root bigint"), "found")
+        _compared(min_cosine), "label string, id bigint, d1 bigint, d2 bigint, n bigint, root bigint"), "found")
 
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    counts = found.groupBy("id").agg(F.sum("n").alias("n"))
-    classes = (classes.select("label", "dim", "d1", "d2", "id", "copies").join(counts, "id", "left")
+    own = ["label", "id", "d1", "d2"]  # an id may have several vectors
+    counts = found.groupBy(*own).agg(F.sum("n").alias("n"))
+    classes = (classes.select("label", "dim", "d1", "d2", "id", "copies").join(counts, own, "left")
                .join(roots.withColumnRenamed("node", "id"), "id", "left")
                .select("label", "dim", "d1", "d2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
                        F.coalesce("root", "id").alias("root")))
