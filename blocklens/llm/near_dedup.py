@@ -25,13 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from blocklens.llm.common import components, stored
+from blocklens.llm.common import components, released, stored
 
 WORDS = 5
 PERCENT = 80
 FREQUENT = 1 << 18
 #: Values are looked for that this many texts of a chunk hold; chunks are of this many characters.
 FREQUENT_FROM, CHUNK_CHARS = 3, 8_000_000
+#: Rows turned into Python objects at once, and hashes of words a task remembers.
+ROWS, KNOWN_WORDS = 256, 1 << 16
 _LAST = np.uint64(1 << 62)
 _MASK = np.uint64((1 << 62) - 1)
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
@@ -40,7 +42,7 @@ _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > KNOWN_WORDS:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -62,6 +64,12 @@ def shingle_set(text: str | None, words: int, hashes: _WordHashes) -> np.ndarray
     return np.unique(total & _MASK)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _facts(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document, and rows with the values that several texts of a chunk hold."""
@@ -76,7 +84,7 @@ def _facts(words: int):
                 {"kind": ["often"] * len(values), "id": values.astype(np.int64), "n": counts.astype(np.int64),
                  "d1": [None] * len(values), "d2": [None] * len(values)}, schema=schema)
 
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 values = shingle_set(text, words, hashes)
@@ -92,7 +100,7 @@ def _facts(words: int):
         if sets:
             yield often()
 
-    return run
+    return released(run)
 
 
 def ordered_values(text: str | None, words: int, hashes: _WordHashes, frequent: np.ndarray) -> np.ndarray:
@@ -107,7 +115,7 @@ def ordered_values(text: str | None, words: int, hashes: _WordHashes, frequent:
 def _sketches(words: int, percent: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 values = ordered_values(text, words, hashes, frequent.value)
@@ -119,18 +127,18 @@ def _sketches(words: int, percent: int, frequent):
                 schema=pa.schema([("id", pa.int64()), ("n", pa.int64()), ("rare", pa.int64()),
                                   ("low", pa.list_(pa.int64()))]))
 
-    return run
+    return released(run)
 
 
 def _full_sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [shingle_set(text, words, hashes).tobytes() for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"id": batch.column(0), "full": sets},
                                              schema=pa.schema([("id", pa.int64()), ("full", pa.binary())]))
 
-    return run
+    return released(run)
 
 
 def _similar(shared: Column, a: Column, b: Column, percent: int) -> Column:
@@ -242,18 +250,42 @@ def near_links(docs: DataFrame, words: int, percent: int, frequent: int) -> tupl
         "d1", "d2", "n", F.coalesce("root", "rep").alias("root"))
 
 
+def _one_document(rows: DataFrame, roots: DataFrame, again: DataFrame) -> DataFrame:
+    """Rows with their component where ids repeat: ``again`` (key, doc) tells the document of the keys of those rows.
+    Components that share a document become one; a row without shingles goes with its document."""
+    placed = rows.join(roots, ["d1", "d2", "n"], "left").withColumn(
+        "root", F.when(F.col("id").isNotNull(), F.coalesce(F.least("root", "id"), "id")))
+    placed = stored(placed.join(again, placed.id == again.key, "left").withColumn("doc", F.coalesce("doc", "id")), "placed")
+    least = placed.groupBy("doc").agg(F.min("root").alias("b"))
+    joined = components(placed.join(least, "doc").select(F.col("root").alias("a"), "b"))
+    placed = placed.join(joined.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left").withColumn(
+        "root", F.coalesce("up", "root"))
+    names = placed.groupBy("root").agg(F.min("doc").alias("component_id"))
+    return placed.join(names, "root", "left").select(F.col("doc").alias("id"), "n", "component_id")
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS,
                percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
     """``id_col, n_shingles, component_id, kept``, one row for each row of ``docs``.
 
     Words are parted by \\x20 and \\x09-\\x0D, A-Z in lower case; a shingle is ``words`` words, a shorter text is one
     shingle. Rows are linked from ``percent`` per cent of Jaccard similarity on; ``component_id`` is the smallest id
-    reachable. Null, empty and blank texts have no shingle and no link. Rows that repeat an id are one document for
-    links. Rows without an id link with nothing and stay. Other columns are ignored; an empty table gives an empty
+    reachable. Null, empty and blank texts have no shingle and no link. Rows that repeat an id are one document: what
+    links with any of them is in one component. Rows without an id link with nothing and stay. Other columns are ignored; an empty table gives an empty
     result."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows, roots = near_links(texts, words, percent, frequent)
-    out = rows.join(roots, ["d1", "d2", "n"], "left").withColumn("component_id", F.when(
-        F.col("id").isNotNull(), F.coalesce(F.least("root", "id"), "id")))
+    twice = stored(texts.where("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+                   .select("id"), "repeated")
+    if twice.isEmpty():
+        rows, roots = near_links(texts, words, percent, frequent)
+        out = rows.join(roots, ["d1", "d2", "n"], "left").withColumn("component_id", F.when(
+            F.col("id").isNotNull(), F.coalesce(F.least("root", "id"), "id")))
+    else:  # rows of a repeated id get a key of id and text, below all ids
+        key = F.coalesce(F.xxhash64("id", "text").bitwiseAND((1 << 62) - 1) - (1 << 62) - (1 << 61), F.col("id"))
+        texts = texts.join(twice.withColumn("_again", F.lit(True)), "id", "left").withColumn(
+            "key", F.when(F.col("_again"), key).otherwise(F.col("id")))
+        again = stored(texts.where("_again").select("key", F.col("id").alias("doc")).distinct(), "keys")
+        rows, roots = near_links(texts.select(F.col("key").alias("id"), "text"), words, percent, frequent)
+        out = _one_document(rows, roots, again)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
                       F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blocklens.llm.common import shared_folder
+from blocklens.llm.common import released, shared_folder
 
 BLOCK_CHARS = 16_000_000
 #: Rows turned into Python objects at once.
@@ -147,7 +147,7 @@ def _gather(inner_prefix: str, parts: int, block_chars: int, summed: bool):
         if docs:
             yield flush()
 
-    return run
+    return released(run)
 
 
 def word_blocks(docs: DataFrame, id_col: str, text_col: str, *, inner_prefix: str = "", summed: bool = False,
@@ -187,7 +187,7 @@ def coded_words(blocks: DataFrame, encode: Callable[[], Callable[[list[str]], li
                 yield pa.RecordBatch.from_pylist([row | {"data": pack([known[w] for w in words])}], schema=_CODES)
 
     words = blocks.where("kind = 'words'").select("block", "part", "n_words", "data")
-    return words.repartition("part").sortWithinPartitions("part").mapInArrow(run, CODE_SCHEMA)
+    return words.repartition("part").sortWithinPartitions("part").mapInArrow(released(run), CODE_SCHEMA)
 
 
 def finish_blocks(blocks: DataFrame, codes: DataFrame, finish: Callable[[tuple, list[bytes]], pd.DataFrame],

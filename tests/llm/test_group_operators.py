@@ -203,6 +203,26 @@ def test_stream_of_sources_without_weight():
         list(mixing.stream({"a": 1}, {"a": -1}))
 
 
+def test_near_dedup_of_ids_with_several_texts(spark):
+    """An id is one document: what its texts link with is one component, by the sizes of the texts that link."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (2, b), (5, a), (5, b), (7, c), (7, " ".join(c.split()[:36])), (8, c), (9, ""), (9, "lone words here"),
+            (3, None), (None, a), (10, "lone words here too"), (10, "x")]
+    got = near_dedup(spark.createDataFrame(rows, TEXT), words=3, percent=85).collect()
+    want = {1: 1, 2: 1, 5: 1, 7: 7, 8: 7, 9: 9, 3: 3, None: None, 10: 10}
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(i, k, i == k) for i, k in want.items()}
+
+
+def test_embedding_links_of_repeated_ids_and_extreme_sizes(spark):
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (1, [1.0, 0.001]), (2, [1.0, -0.001]), (3, [0.001, 1.0]),
+            (11, [1e200, 1e200]), (12, [1e-200, 1e-200]), (13, [3e307, 3e307]), (14, [5e-324, 5e-324]), (15, [1.0, 1.0])]
+    vectors = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id bigint, embedding array<double>, label int")
+    got = embedding_dedup(vectors).collect()
+    links = sorted((r.vec_id, r.n_links, r.component_id) for r in got)
+    assert links == [(1, 2, 1), (2, 2, 1), (3, 1, 1), (5, 1, 1), (5, 2, 1), *((i, 4, 11) for i in range(11, 16))]
+
+
 def test_quality(spark, odd_docs, no_docs):
     rng = random.Random(2)
     texts = [(i, " ".join(f"{'word' if i % 3 else 'WORD!!'}{rng.randint(1, 99)}" for _ in range(rng.randint(5, 60))))
