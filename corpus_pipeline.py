@@ -13,6 +13,9 @@ from blocklens.llm import bpe, exact_dedup, mixing, near_dedup, quality
 from blocklens.llm.common import row_key, shared_folder, stored
 from blocklens.llm.queries import BPE_TOKENIZER, tokenizer_file
 
+#: Smaller than the encoder's own blocks: its workers run beside what the earlier stages left in memory.
+BLOCK_CHARS = 4_000_000
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts (score of 0.5 or more)."""
@@ -62,7 +65,7 @@ def in_file_order(docs: DataFrame) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, ids, decoded, position``: sorted by ``position`` the rows are in the order of ``docs``."""
-    return bpe.encode(in_file_order(docs), tokenizer_file(BPE_TOKENIZER), place_col="position")
+    return bpe.encode(in_file_order(docs), tokenizer_file(BPE_TOKENIZER), block_chars=BLOCK_CHARS, place_col="position")
 
 
 STAGES = [
