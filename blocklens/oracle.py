@@ -199,8 +199,8 @@ SELECT doc_id, page, query_id, bx0 + (bx1 - bx0) * (i / n) AS x0, y0, bx0 + (bx1
   {_snip('text', 'i', 'm', 10)} AS snippet, 'ocr' AS source, 'digit_formatted' AS match_type FROM s"""
 
 
-def _lcs_ratio(q: str, t: str) -> str:
-    """Similarity of a literal to a column, by a bit-parallel longest common subsequence."""
+def _lcs(q: str, t: str) -> str:
+    """Longest common subsequence of a literal and a column, bit-parallel."""
     bits: dict[str, int] = {}
     for i, c in enumerate(q):
         bits[c] = bits.get(c, 0) | (1 << i)
@@ -210,12 +210,39 @@ def _lcs_ratio(q: str, t: str) -> str:
     chars = f"list_transform(string_split({t}, ''), lambda c: CAST({case} AS BIGINT))"
     left = (f"list_reduce(list_concat({seed}, {chars}), "
             f"lambda v, m: ((v + (v & m)) | (v - (v & m))) & {full})")
-    total = f"({len(q)} + length({t}))"
-    lcs = f"({len(q)} - bit_count({left}))"
+    return f"({len(q)} - bit_count({left}))"
+
+
+def _lcs_ratio(q: str, t: str) -> str:
+    total, lcs = f"({len(q)} + length({t}))", _lcs(q, t)
     return (f"CAST(100 AS DOUBLE) * (CAST(1 AS DOUBLE) - CAST({total} - 2 * {lcs} AS DOUBLE) "
             f"/ CAST({total} AS DOUBLE))")
 
 
+def _token_set(q: str, text: str, src: str, keep: str) -> str:
+    """SELECT of ``keep`` and the token-set score of a literal against ``text`` (lower case). What the literal's tokens
+    have beyond the text's is one of few strings, each with an alignment of its own."""
+    own = sorted(set(q.split()))
+    subsets = [" ".join(t for k, t in enumerate(own) if m >> k & 1) for m in range(1, 1 << len(own))]
+    tokens = "[" + ", ".join(f"'{t}'" for t in own) + "]"
+    share = lambda far, size: f"CAST(100 AS DOUBLE) * (CAST(1 AS DOUBLE) - CAST({far} AS DOUBLE) / CAST({size} AS DOUBLE))"
+    common = "CASE jb " + " ".join(f"WHEN '{r}' THEN {_lcs(r, 'ja')}" for r in subsets) + " ELSE 0 END"
+    a, b = "(sect + gap + length(ja))", "(sect + gap + length(jb))"
+    rests = share(f"(length(ja) + length(jb) - 2 * {common})", f"({a} + {b})")
+    return f"""SELECT {keep}, CASE WHEN nt = 0 THEN 0 WHEN sect > 0 AND (ja = '' OR jb = '') THEN 100 WHEN sect = 0 THEN {rests}
+    ELSE greatest({rests}, {share('(gap + length(ja))', f'(sect + {a})')}, {share('(gap + length(jb))', f'(sect + {b})')}) END AS score
+  FROM (SELECT *, len(ta) AS nt, coalesce(array_to_string(list_sort(list_filter(ta, lambda x: NOT list_contains({tokens}, x))), ' '), '') AS ja,
+      coalesce(array_to_string(list_filter({tokens}, lambda x: NOT list_contains(ta, x)), ' '), '') AS jb,
+      coalesce(length(array_to_string(list_filter({tokens}, lambda x: list_contains(ta, x)), ' ')), 0) AS sect,
+      CASE WHEN len(list_filter({tokens}, lambda x: list_contains(ta, x))) > 0 THEN 1 ELSE 0 END AS gap
+    FROM (SELECT *, list_distinct(list_filter(string_split_regex({text}, '\\s+'), lambda x: x <> '')) AS ta FROM {src}))"""
+
+
+def q_token_set() -> str:
+    return f"""WITH {LINES}, s AS ({_token_set('the and that', 'lower(text)', 'bl', 'doc_id, block_seq')})
+SELECT doc_id, block_seq, score FROM s WHERE score >= 62"""
+
+
 NORM = "trim(regexp_replace(lower(strip_accents({})), '\\s+', ' ', 'g'))"
 
 
@@ -599,48 +626,67 @@ def f_known_priority() -> str:
   ('date_of_birth', 3)) v(field_id, p), (SELECT count(*) AS n FROM orders)"""
 
 
-def v_checks() -> str:
+_NAME = "'form-' || o_orderkey || CASE WHEN o_orderkey % 7 = 0 THEN '.txt' ELSE '.PDF' END"
+
+
+def _checked(placeholders: bool) -> str:
+    """``ck``: the best field of every form for every concept, scored by each of its texts."""
     rows = ", ".join(f"({i}, '{c}')" for i, c in enumerate(CONCEPTS))
-    return f"""WITH {FORMS}, cc AS (SELECT * FROM (VALUES {rows}) v(concept_seq, concept)),
-b AS (SELECT o_orderkey AS doc_id, CAST(concept_seq AS BIGINT) AS concept_seq, concept FROM orders, cc)
-SELECT b.doc_id, concept_seq, concept, CASE WHEN concept = 'first name' THEN 'not_found' WHEN field_seq = 6 THEN 'null_or_empty'
-    ELSE 'ok' END AS status, field_id AS matched_field_id, label AS matched_label, value,
-  CAST(CASE WHEN concept = 'first name' THEN 57.1 ELSE 100 END AS DOUBLE) AS match_score
-FROM b LEFT JOIN (SELECT * FROM ff WHERE field_id IS NOT NULL AND field_seq NOT IN (2, 5)) f
-  ON f.doc_id = b.doc_id AND lower(f.label) = lower(b.concept)"""
+    scored = " UNION ALL ".join(_token_set(c.lower(), "t", "dt", f"{i} AS concept_seq, t") for i, c in enumerate(CONCEPTS))
+    return f"""{FORMS}, cc AS (SELECT * FROM (VALUES {rows}) v(concept_seq, concept)),
+fx AS (SELECT doc_id, field_seq, field_id, label, value, CASE WHEN field_seq = 7 THEN 'Detected: ' || text ELSE label END AS name
+       FROM ff WHERE field_id IS NOT NULL AND field_seq NOT IN (2, 5) {'' if placeholders else 'AND field_seq <> 6'}),
+ft AS (SELECT doc_id, field_seq, lower(trim(unnest([label, name, field_id]))) AS t FROM fx),
+dt AS (SELECT DISTINCT t FROM ft WHERE t <> ''), sc AS ({scored}),
+fs AS (SELECT doc_id, field_seq, concept_seq, max(score) AS score FROM ft JOIN sc USING (t) GROUP BY ALL),
+bf AS (SELECT *, row_number() OVER (PARTITION BY doc_id, concept_seq ORDER BY score DESC, field_seq) AS rn FROM fs),
+bk AS (SELECT o.doc_id, concept_seq, concept, coalesce(score, 0) AS score, field_seq
+       FROM (SELECT o_orderkey AS doc_id, concept_seq, concept FROM orders, cc) o
+         LEFT JOIN (SELECT * FROM bf WHERE rn = 1) b USING (doc_id, concept_seq)),
+ck AS (SELECT doc_id, CAST(concept_seq AS BIGINT) AS concept_seq, concept, score,
+         CASE WHEN score < 62 THEN 'not_found' WHEN value IS NULL OR regexp_replace(value, '[\\s_.-]', '', 'g') = '' THEN 'null_or_empty'
+           ELSE 'ok' END AS status,
+         CASE WHEN score >= 62 THEN field_id END AS matched_field_id,
+         CASE WHEN score >= 62 THEN CASE WHEN label <> '' THEN label ELSE name END END AS matched_label,
+         CASE WHEN score >= 62 THEN value END AS value
+       FROM bk LEFT JOIN fx USING (doc_id, field_seq)),
+nm AS (SELECT o_orderkey AS doc_id, o_orderkey % 7 <> 0 AS good, {_NAME} AS filename FROM orders),
+vd AS (SELECT doc_id, count(*) AS n_checks, count(*) FILTER (status <> 'ok') AS n_issues, bool_and(status = 'ok') AS all_ok
+       FROM ck GROUP BY doc_id),
+ms AS (SELECT doc_id, concept_seq, good, filename, filename || CASE status
+         WHEN 'not_found' THEN ': no field matched for ''' || concept || ''' (fuzzy score ' || CAST(round_even(score, 0) AS BIGINT) || ' < 62.0)'
+         ELSE ': ''' || concept || ''' matched ''' || matched_label || ''' but value is null or empty' END AS message
+       FROM ck JOIN nm USING (doc_id) WHERE status <> 'ok')"""
 
 
-def v_verdicts() -> str:
-    return "SELECT o_orderkey AS doc_id, CAST(5 AS BIGINT) AS n_checks, CAST(2 AS BIGINT) AS n_issues, false AS all_ok FROM orders"
+def v_checks() -> str:
+    return f"""WITH {_checked(True)} SELECT doc_id, concept_seq, concept, status, matched_field_id, matched_label, value,
+  round(score, 1) AS match_score FROM ck"""
 
 
-_NAME = "'form-' || o_orderkey || CASE WHEN o_orderkey % 7 = 0 THEN '.txt' ELSE '.PDF' END"
+def v_verdicts() -> str:
+    return f"WITH {_checked(True)} SELECT doc_id, n_checks, n_issues, all_ok FROM vd"
 
 
 def v_messages() -> str:
-    return f"""SELECT o_orderkey AS doc_id, CAST(3 AS BIGINT) AS concept_seq,
-  {_NAME} || ': ''signature'' matched ''Signature'' but value is null or empty' AS message FROM orders
-UNION ALL SELECT o_orderkey, 4, {_NAME} || ': no field matched for ''first name'' (fuzzy score 57 < 62.0)' FROM orders"""
+    return f"WITH {_checked(True)} SELECT doc_id, concept_seq, message FROM ms"
 
 
 def c_folder() -> str:
-    return f"""SELECT o_orderkey AS doc_id, CAST(3 AS BIGINT) AS concept_seq, {_NAME} AS filename,
-  {_NAME} || ': ''signature'' matched ''Signature'' but value is null or empty' AS message, false AS is_error
-FROM orders WHERE o_orderkey % 7 <> 0
-UNION ALL SELECT o_orderkey, 4, {_NAME}, {_NAME} || ': no field matched for ''first name'' (fuzzy score 57 < 62.0)', false
-FROM orders WHERE o_orderkey % 7 <> 0
-UNION ALL SELECT NULL, NULL, {_NAME}, {_NAME} || ': ERROR — skipped — not a .pdf', true FROM orders WHERE o_orderkey % 7 = 0"""
+    return f"""WITH {_checked(True)} SELECT doc_id, concept_seq, filename, message, false AS is_error FROM ms WHERE good
+UNION ALL SELECT NULL, NULL, filename, filename || ': ERROR — skipped — not a .pdf', true FROM nm WHERE NOT good"""
 
 
 def v_summary() -> str:
-    return """SELECT count(*) AS pdf_count, CAST(5 AS BIGINT) AS concepts_count, CAST(0 AS BIGINT) AS pdfs_all_ok,
-  count(*) AS pdfs_with_issues, CAST(2 * count(*) AS BIGINT) AS issue_lines FROM orders"""
+    return f"""WITH {_checked(True)} SELECT count(*) AS pdf_count, CAST({len(CONCEPTS)} AS BIGINT) AS concepts_count,
+  count(*) FILTER (all_ok) AS pdfs_all_ok, count(*) FILTER (NOT all_ok) AS pdfs_with_issues,
+  CAST(sum(n_issues) AS BIGINT) AS issue_lines FROM vd"""
 
 
 def v_verify_only() -> str:
-    return """SELECT count(*) AS total_uploaded, count(*) FILTER (o_orderkey % 7 <> 0) AS processed_ok,
-  count(*) FILTER (o_orderkey % 7 = 0) AS failed_read_or_extract,
-  count(*) FILTER (o_orderkey % 7 = 0) AS pdfs_with_missing_or_unmatched FROM orders"""
+    return f"""WITH {_checked(False)} SELECT count(*) AS total_uploaded, count(*) FILTER (good) AS processed_ok,
+  count(*) FILTER (NOT good) AS failed_read_or_extract,
+  count(*) FILTER (NOT good OR NOT all_ok) AS pdfs_with_missing_or_unmatched FROM vd JOIN nm USING (doc_id)"""
 
 
 def _ocr() -> str:
@@ -677,7 +723,7 @@ SELECT doc_id, page, page_chars, native_score, page_chars < 200 OR native_score
 
 
 def o_merge() -> str:
-    return f"""WITH {words()}, o AS (SELECT * FROM wb WHERE block_seq % 3 = 0)
+    return f"""WITH {_ocr()}, {_PICK}, o AS (SELECT ow.* FROM ow JOIN pk USING (doc_id, page, engine) WHERE engine <> 1 OR conf >= 10)
 SELECT doc_id, page, block_seq, text, x0, y0, x1, y1, 'ocr' AS source FROM o
 UNION ALL SELECT doc_id, page, block_seq, text, x0, y0, x1, y1, 'native' FROM wb WHERE NOT EXISTS (
   SELECT 1 FROM o WHERE o.doc_id = wb.doc_id AND o.page = wb.page AND o.y0 = wb.y0
@@ -697,9 +743,11 @@ WHERE NOT {noise} AND (NOT weak OR NOT EXISTS (SELECT 1 FROM ch WHERE ch.doc_id
 
 
 def c_catalog() -> str:
-    return f"""SELECT o_orderkey AS doc_id, CAST(6 AS BIGINT) AS field_count, CAST(9 AS BIGINT) AS block_count,
+    return f"""WITH {FORMS}, nf AS (SELECT doc_id, count(*) AS n FROM fd GROUP BY 1), nb AS (SELECT doc_id, count(*) AS n FROM fb GROUP BY 1)
+SELECT o_orderkey AS doc_id, coalesce(nf.n, 0) AS field_count, coalesce(nb.n, 0) AS block_count,
   {_NAME} AS filename, trim(o_orderpriority) AS transaction_type, o_orderstatus AS carrier, '' AS vertical,
-  CAST(NULL AS VARCHAR) AS hint FROM orders"""
+  CASE WHEN nf.n > 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN 'pending' ELSE 'none' END AS hint
+FROM orders LEFT JOIN nf ON nf.doc_id = o_orderkey LEFT JOIN nb ON nb.doc_id = o_orderkey"""
 
 
 def c_errors() -> str:

@@ -393,7 +393,7 @@ def v_summary(spark, sf):
 def v_verify_only(spark, sf):
     docs = _form_documents(spark, sf)
     good, bad = tables.split_uploads(docs)
-    ck = verify.checks(good, fields.detect_fields(_forms(spark, sf)), CONCEPTS[:3])
+    ck = verify.checks(good, fields.detect_fields(_forms(spark, sf)), CONCEPTS)
     d = verify.verify_only_summary(ck, bad)
     return d.select(*_i64(*d.columns))
 
@@ -420,8 +420,9 @@ def o_needs(spark, sf):
 
 
 def o_merge(spark, sf):
-    words = ocr.clean_words(_ocr(spark, sf)).filter(F.col("engine") == 2)
-    d = ocr.merge_layers(words, _words(spark, sf))
+    """The layer chosen for each page over the native blocks."""
+    chosen = ocr.choose_ocr_layer(ocr.clean_words(_ocr(spark, sf)))
+    d = ocr.merge_layers(chosen, _words(spark, sf))
     return d.select(*_i64("doc_id", "page", "block_seq"), "text", *BOX, "source")
 
 
