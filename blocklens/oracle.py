@@ -487,6 +487,19 @@ SELECT doc_id, page, block_seq, query_id, x0, y0, x1, y1 FROM (
     ORDER BY block_seq, query_id) AS rn FROM hit WHERE match_type = 'exact') WHERE rn = 1"""
 
 
+def d_greedy() -> str:
+    """Two nested words hit a line at most once each, and lines lie 30 pt apart: the later of the two stays only where it
+    is neither in the same grid cell nor the same ink."""
+    return f"""WITH {_exact_ctes(['that', 'hat'])},
+o AS (SELECT *, row_number() OVER v AS rn, lag(x0) OVER v AS p0, lag(x1) OVER v AS p1 FROM hit WHERE match_type = 'exact_loose'
+      WINDOW v AS (PARTITION BY doc_id, block_seq ORDER BY x0, x1)),
+g AS (SELECT *, greatest(least(x1, p1) - greatest(x0, p0), 0) AS w, abs((x0 + x1) - (p0 + p1)) / 2 AS d,
+        least(x1 - x0, p1 - p0) AS small, (x1 - x0) + (p1 - p0) AS total FROM o)
+SELECT doc_id, page, x0, y0, x1, y1, match_type FROM g WHERE rn = 1 OR NOT (
+  (floor(x0 / 8) = floor(p0 / 8) AND floor(x1 / 8) = floor(p1 / 8)) OR w / (total - w) >= 0.38
+  OR (d <= 32 AND (w / small > 0.4 OR d < 14)))"""
+
+
 def l_reading_order() -> str:
     return f"WITH {words()} SELECT doc_id, page, block_seq, text, x0, y0 FROM wb"
 

@@ -92,8 +92,11 @@ def plain_greedy(hs):
     return sorted(kept)
 
 
-def test_greedy_dedupe_matches_the_loop(spark):
+@pytest.mark.parametrize("fold", [dedupe.FOLD_HITS, 2])
+def test_greedy_dedupe_matches_the_loop(spark, monkeypatch, fold):
+    """Folded, and settled in rounds."""
     import random
+    monkeypatch.setattr(dedupe, "FOLD_HITS", fold)
     rng = random.Random(7)
     types = ["exact", "line", "fuzzy_block"]
     rows, per = [], {}
