@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from blocklens.llm.license_scan import MAX_SHIFT, MIN_COVERAGE, TEMPLATES
+from blocklens.llm.license_scan import MAX_SHIFT, NOTICES, TEMPLATES
 
 EXACT_DEDUP = r"""
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
@@ -25,7 +25,19 @@ FROM m GROUP BY doc_id
 """
 
 
+def _edited(phrase: str, tail: int) -> str:
+    """A pattern of all texts that are one edit or none away from the phrase, its last words excepted."""
+    words, forms = phrase.split(), {phrase}
+    for i in range(len(words) - tail):
+        head, rest = words[:i], words[i + 1:]
+        forms |= {" ".join(head + rest), " ".join([*head, "[^ ]+", *rest])}
+        forms.add(" ".join([*words[:i + 1], "[^ ]+", *rest]))
+    return "(?:^| )(?:" + "|".join(sorted(forms)) + ")(?: |$)"
+
+
 def _license_scan() -> str:
+    known = " ".join(f"WHEN '{label}' THEN regexp_matches(t, '{_edited(p, tail)}')" for p, label, tail in NOTICES)
+    names = ", ".join(f"'{label}'" for _, label, _ in NOTICES)
     rows = []
     for tid, t in enumerate(TEMPLATES):
         words = t.phrase.split()
@@ -50,12 +62,14 @@ v AS (SELECT doc_id, tid, label, base, span, count(*) FILTER (WHERE base AND n =
 a AS (SELECT doc_id, sum(places) AS n_base, min(f) AS first_word, max(l) AS last_word,
              coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base AND places > 0), '')
                AS base_labels,
-             coalesce(string_agg(DISTINCT label, ',' ORDER BY label)
-                      FILTER (WHERE CASE WHEN base THEN places > 0 ELSE coverage >= {MIN_COVERAGE} END), '') AS labels,
-             max(coverage) AS score FROM v GROUP BY doc_id)
+             max(coverage) AS score FROM v GROUP BY doc_id),
+x AS (SELECT doc_id, array_to_string(ws, ' ') AS t, ws FROM w),
+n AS (SELECT doc_id, array_to_string(list_filter([{names}], lambda l: CASE l {known} END), ',') AS own FROM x),
+k AS (SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(string_split(coalesce(base_labels, '') || ',' ||
+        coalesce(own, ''), ','), lambda l: l <> ''))), ',') AS labels FROM n LEFT JOIN a USING (doc_id))
 SELECT doc_id, len(ws) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word,
        coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
-FROM w LEFT JOIN a USING (doc_id)
+FROM w LEFT JOIN a USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
 

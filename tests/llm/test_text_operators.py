@@ -100,3 +100,24 @@ def test_license_scan(spark, odd_docs, no_docs):
     assert got[3, 0] == (0, None, None, "", "", 0.0) and got[3, 4][:3] == (1, 1, 1) and got[None, 2][:3] == (1, 0, 0)
     assert got[4, 1500][:3] == (500, 0, 1497) and got[5, 5][:1] == (0,)
     assert license_scan(odd_docs).count() == len(TEXTS) and license_scan(no_docs).count() == 0
+
+
+def test_notices_with_one_edit(spark):
+    """Every notice exact, and with each word before its tail left out, changed or followed by another; two edits, a
+    changed tail and the notices of other versions give no label."""
+    from blocklens.llm.license_scan import NOTICES
+    texts, want = [], []
+    for phrase, label, tail in NOTICES:
+        w = phrase.split()
+        for i in range(len(w) - tail):
+            texts += [" ".join(w), " ".join(w[:i] + w[i + 1:]), " ".join([*w[:i], "other", *w[i + 1:]]),
+                      " ".join([*w[:i + 1], "other", *w[i + 1:]])]
+            want += [label] * 4
+        texts += [" ".join([*w[:-1], "other"]), " ".join(w[2:]), " ".join([*w[:2], "x", "y", *w[2:]]),
+                  " ".join(["x", *w[:1], "y", *w[2:-tail], "z", *w[-tail:]]), " ".join(w[:-1])]
+        want += [""] * 5
+    rows = [(i, f"{'lead in ' * (i % 3)}{t.title() if i % 2 else t}{' . and on' * (i % 2)}") for i, t in enumerate(texts)]
+    base = {"cc-by", "gpl", "reserved"}
+    got = {r.doc_id: set(r.labels.split(",")) - base - {""} for r in
+           license_scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [(t, got[i]) for i, t in enumerate(texts)] == [(t, {x} - {""}) for t, x in zip(texts, want)]
