@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from blocklens.llm.common import released
+
 #: The model is fitted on at most so many labelled rows, chosen by a hash of their id.
 FIT_ROWS = 20_000
 BINS, PAIR_BINS, PAIRS = 32, 8, 6
@@ -193,10 +195,14 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     columns of these names. Null texts count as empty; empty ones are scored like others."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    def rows(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(shared.value.score(np.array([features(t) for t in texts], np.float64)
+                                               .reshape(len(texts), len(FEATURES))))
+
     @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.score(np.array([features(t) for t in texts], np.float64)
-                                            .reshape(len(texts), len(FEATURES))))
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return released(rows)(batches)
 
     return docs.withColumn(score_col, scored(F.col(text_col).cast("string"))).withColumn(
         predicted_col, (F.col(score_col) >= 0.5).cast("int"))

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blocklens.llm.common import released, shared_folder
+from blocklens.llm.common import release, released, shared_folder
 
 BLOCK_CHARS = 16_000_000
 #: Rows turned into Python objects at once.
@@ -201,6 +201,9 @@ def finish_blocks(blocks: DataFrame, codes: DataFrame, finish: Callable[[tuple,
         codes_of = [b""] * len(by_part)
         for number, code in zip(np.argsort(unpack_ints(head.parts), kind="stable").tolist(), by_part):
             codes_of[number] = code
-        return finish(head, codes_of)
+        rows = finish(head, codes_of)
+        del codes_of, by_part
+        release()
+        return rows
 
     return docs.groupBy("block").cogroup(codes.groupBy("block")).applyInPandas(run, schema)
