@@ -15,10 +15,18 @@ from blocklens.llm.queries import BPE_TOKENIZER, tokenizer_file
 
 #: Smaller than the encoder's own blocks: its workers run beside what the earlier stages left in memory.
 BLOCK_CHARS = 4_000_000
+#: Rows of a batch that Spark hands to Python in any stage, for the same reason.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's batch size; it holds when the stage's result is written, after the stage has returned."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts (score of 0.5 or more)."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit_model(docs, labels)
     own = {c: f"_quality_{uuid.uuid4().hex}" for c in ("score", "predicted")}  # no name of docs
@@ -36,6 +44,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group with linked shingle sets: five words, similarity 0.8."""
+    small_batches(spark)
     gone = near_dedup.near_dedup(docs).where("NOT kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
@@ -65,6 +74,7 @@ def in_file_order(docs: DataFrame) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, ids, decoded, position``: sorted by ``position`` the rows are in the order of ``docs``."""
+    small_batches(spark)
     return bpe.encode(in_file_order(docs), tokenizer_file(BPE_TOKENIZER), block_chars=BLOCK_CHARS, place_col="position")
 
 
