@@ -20,6 +20,8 @@ from ..plans.stage import materialise
 STACKED_MAX_GAP = 52
 STACKED_MIN_OVERLAP = 35
 STANDALONE_PER_PAGE = 8
+#: A value that fits a block so well is placed without a look at blocks that can't fit as well.
+SURE = 85.0
 SEE_PAGE = "(see page)"
 BOX_COLS = ("x0", "y0", "x1", "y1")
 CANDIDATE = ("doc_id", "block_seq", "field_id", "name", "label", "value", "page", *BOX_COLS,
@@ -308,21 +310,78 @@ def merge_fields(baseline: DataFrame, extra: DataFrame) -> DataFrame:
     return both.select("doc_id", *[pick(c) for c in cols if c != "doc_id"])
 
 
+def _grams(c: Column) -> Column:
+    """All pairs of neighbouring characters, in order."""
+    return F.regexp_extract_all(c, F.lit("(?s)(?=(..))"), F.lit(1))
+
+
+def _needed(n: Column) -> Column:
+    """How many pairs of neighbouring characters a text of ``n`` characters must share with another one to fit it (as
+    the shorter of the two) by SURE or better.
+
+    Characters matched one after the other in both texts share a pair; where none is shared, one of the texts skips a
+    character. L matched characters with at most g shared pairs so need L - 1 - g skipped ones, hence
+    3 L <= n + w + 1 + g over a window of w characters, and the score 2 L / (n + w) stays below 2/3 + 4 (1 + g) / (9 n)
+    for every window that is long enough to reach that much at all."""
+    return F.greatest(F.lit(0), F.ceil((SURE / 100 - 2 / 3) * 9 / 4 * n - 1 - 1e-9)).cast("int")
+
+
+def _scored(pairs: DataFrame, keys: Sequence[str], min_score: float, first_page_first: bool) -> DataFrame:
+    """Best block of each value among the pairs, as ``m``: a partial aggregate, not a window."""
+    scored = pairs.withColumn("score", sim.alignment_score(F.col("_v"), F.col("_text"))).filter(F.col("score") >= min_score)
+    first = F.when(F.col("page") == 1, 0).otherwise(1) if first_page_first else F.lit(0)
+    return scored.groupBy(*keys).agg(F.min(F.struct(
+        first.alias("p"), (-F.col("score")).alias("k"), "block_seq", "page", *BOX_COLS)).alias("m"))
+
+
+def _likely_pairs(v: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The pairs of a document that can fit by SURE or better.
+
+    The shorter text of such a pair shares ``_needed`` of its pairs of characters with the other, so at least one of
+    its rarest ones, if as many as it may lack and one more are tried. Rows meet over (document, pair of characters):
+    those of a value that are rarest in the document, or those of a block shorter than the value. A document's blocks
+    are so dealt over its pairs of characters. Blocks too short to need any are met directly, values too short are
+    left out."""
+    v = v.withColumn("_m", F.length("_low")).withColumn("_vg", _grams(F.col("_low"))).filter(_needed(F.col("_m")) > 0)
+    b = b.withColumn("_n", F.length("_blow")).withColumn("_bg", F.array_distinct(_grams(F.col("_blow"))))
+    held = v.groupBy("doc_id").agg(F.max("_m").alias("_longest"))
+    posts = b.join(held, "doc_id").select("doc_id", "block_seq", "_n", (F.col("_n") < F.col("_longest")).alias("_short"),
+                                          F.explode("_bg").alias("_g"))
+    asked = v.select(*keys, "_m", F.explode(F.array_distinct("_vg")).alias("_g"), "_vg")
+    asked = asked.withColumn("_times", F.size(F.filter("_vg", lambda g: g == F.col("_g")))).drop("_vg")
+    often = posts.join(asked.select("doc_id", "_g").distinct(), ["doc_id", "_g"], "left_semi").groupBy("doc_id", "_g").agg(
+        F.count(F.lit(1)).alias("_often"))
+    asked = asked.join(often, ["doc_id", "_g"])  # what no block has can't be shared
+    may_lack = F.col("_m") - 1 - _needed(F.col("_m"))
+    rare = W.partitionBy(*keys).orderBy("_often", "_g").rowsBetween(W.unboundedPreceding, -1)
+    total = F.sum("_times").over(W.partitionBy(*keys))
+    lost = F.col("_m") - 1 - total  # positions that no block of the document has
+    asked = asked.withColumn("_tried", lost + F.coalesce(F.sum("_times").over(rare), F.lit(0)) <= may_lack)
+    met = asked.join(posts, ["doc_id", "_g"]).filter(
+        F.when(F.col("_n") < F.col("_m"), F.col("_short")).otherwise(F.col("_tried"))).select(*keys, "block_seq").distinct()
+    tiny = b.filter(_needed(F.col("_n")) == 0).select("doc_id", "block_seq").join(
+        v.select(*keys), "doc_id").select(*keys, "block_seq")
+    pairs = met.union(tiny).distinct().join(v, list(keys)).join(b, ["doc_id", "block_seq"])
+    shared = F.size(F.filter("_vg", lambda g: F.array_contains("_bg", g)))
+    return pairs.filter(shared >= _needed(F.least("_m", "_n"))).drop("_m", "_n", "_vg", "_bg", "_low", "_blow")
+
+
 def align_values(values: DataFrame, blocks: DataFrame, keys: Sequence[str], *, min_score: float = 35,
                  first_page_first: bool = False) -> DataFrame:
     """Best block of the same document for each value: ``keys`` identify a value row and include doc_id.
 
-    The best block is a partial aggregate over the scored pairs of a document, not a window over them.
-    ``first_page_first`` tries page 1 and falls back to the whole document."""
-    v = values.withColumn("_v", F.substring(tx.strip(F.col("value")), 1, 120)).filter(F.col("_v") != "")
+    First only pairs that can fit by SURE or better are scored (:func:`_likely_pairs`). A value with such a block
+    has its best one among them; the others are compared with all blocks of their document. ``first_page_first`` tries
+    page 1 and falls back to the whole document."""
+    v = values.withColumn("_v", F.substring(tx.strip(F.col("value")), 1, 120)).filter(F.col("_v") != "").select(
+        *keys, "_v", F.lower("_v").alias("_low"))
     b = blocks.filter(tx.strip(F.col("text")) != "").select(
-        "doc_id", "block_seq", "page", *BOX_COLS, F.col("text").alias("_text"))
-    pairs = v.select(*keys, "_v").join(b, "doc_id")
-    scored = pairs.withColumn("score", sim.alignment_score(F.col("_v"), F.col("_text")))
-    scored = scored.filter(F.col("score") >= min_score)
-    first = F.when(F.col("page") == 1, 0).otherwise(1) if first_page_first else F.lit(0)
-    best = scored.groupBy(*keys).agg(F.min(F.struct(
-        first.alias("p"), (-F.col("score")).alias("k"), "block_seq", "page", *BOX_COLS)).alias("m"))
+        "doc_id", "block_seq", "page", *BOX_COLS, F.col("text").alias("_text"), F.lower("text").alias("_blow"))
+    near = b.filter(F.col("page") == 1) if first_page_first else b
+    found = _scored(_likely_pairs(v, near, keys), keys, max(min_score, SURE), first_page_first)
+    found = materialise(found)
+    rest = v.join(found, list(keys), "left_anti").select(*keys, "_v").join(b.drop("_blow"), "doc_id")
+    best = found.unionByName(_scored(rest, keys, min_score, first_page_first))
     return best.select(*keys, F.col("m.page").alias("page"), *[F.col(f"m.{c}").alias(c) for c in BOX_COLS],
                        (-F.col("m.k")).alias("score"), F.col("m.block_seq").alias("block_seq"))
 

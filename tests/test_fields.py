@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from blocklens.functions import similarity as sim
 from blocklens.operators import fields, review
 
 FORM = [
@@ -195,3 +196,33 @@ def test_answers_need_a_block(spark, make_blocks):
 def test_known_priority(spark, priority, fid, want):
     d = spark.createDataFrame([(priority, fid)], "p string, f string")
     assert d.select(fields.known_priority(F.col("p"), F.col("f"), F.col("f")).alias("v")).first().v == want
+
+
+@pytest.mark.parametrize("first_page", [False, True])
+def test_alignment_against_all_pairs(spark, make_blocks, first_page):
+    """Exact values, near misses, tiny texts and values longer than a block, each against every block."""
+    rng = random.Random(3)
+    words = ["policy", "number", "pol-0017", "a", "7", "ok", "member name", "name", "jones", "x", "2024-01-31", "anna", "été"]
+    rows, values = [], []
+    for doc in range(25):
+        texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(1, 12))]
+        rows += [(doc, 1 + i // 4, t, 72.0, 60.0 + 30 * (i % 4), 400.0, 71.0 + 30 * (i % 4)) for i, t in enumerate(texts)]
+        for k in range(6):
+            v = list(rng.choice(texts) if k % 2 else " ".join(rng.sample(words, 3)))
+            for _ in range(k // 2):
+                v[rng.randrange(len(v))] = rng.choice("qz p")
+            values.append((doc, k, "".join(v)[:rng.choice([1, 2, 5, 12, 60])]))
+    blocks = make_blocks(rows)
+    v = spark.createDataFrame(values, "doc_id bigint, field_seq bigint, value string")
+    got = {(r.doc_id, r.field_seq): (r.block_seq, round(r.score, 6)) for r in fields.align_values(
+        v, blocks, ["doc_id", "field_seq"], first_page_first=first_page).collect()}
+    per = {}
+    for r in blocks.collect():
+        per.setdefault(r.doc_id, []).append(r)
+    want = {}
+    for doc, k, value in values:
+        best = min(((0 if r.page == 1 or not first_page else 1, -round(sim._align(value.strip().lower(), r.text.lower()), 9), r.block_seq)
+                    for r in per[doc] if value.strip() and sim._align(value.strip().lower(), r.text.lower()) >= 35), default=None)
+        if best:
+            want[doc, k] = (best[2], round(-best[1], 6))
+    assert got == want and sum(s >= 85 for _, s in want.values()) > 40 and sum(s < 85 for _, s in want.values()) > 10
