@@ -610,18 +610,21 @@ def f_unknown() -> str:
 
 
 def f_merge() -> str:
-    return f"""WITH {FORMS} SELECT doc_id, field_id, value, label,
+    return f"""WITH {FORMS} SELECT doc_id, field_id,
+  CASE WHEN field_seq = 0 AND doc_id % 2 = 0 AND doc_id % 3 = 1 THEN replace(value, 'POL', 'PQL') ELSE value END AS value, label,
   CASE WHEN field_seq = 0 AND doc_id % 2 = 0 THEN CAST(0.95 AS DOUBLE) ELSE confidence END AS confidence, detection,
   CASE WHEN field_seq = 0 AND doc_id % 2 = 0 THEN 'external' END AS source FROM fd"""
 
 
 def f_align() -> str:
-    return f"""WITH {FORMS} SELECT doc_id, page, block_seq, x0, y0, x1, y1, CAST(100 AS DOUBLE) AS score
+    return f"""WITH {FORMS} SELECT doc_id, page, block_seq, x0, y0, x1, y1,
+  CAST(100 AS DOUBLE) * (CAST(1 AS DOUBLE) - CASE WHEN doc_id % 3 = 1 THEN CAST(2 AS DOUBLE) / 24 ELSE 0 END) AS score
 FROM fb WHERE block_seq = 0"""
 
 
 def f_answers() -> str:
-    return f"""WITH {FORMS} SELECT doc_id, page, 'policy_number' AS field_id, trim(split_part(text, ':', 2)) AS value,
+    return f"""WITH {FORMS} SELECT doc_id, page, 'policy_number' AS field_id,
+  CASE WHEN doc_id % 3 = 1 THEN replace(trim(split_part(text, ':', 2)), 'POL', 'PQL') ELSE trim(split_part(text, ':', 2)) END AS value,
   x0, y0, x1, y1, CAST(CASE WHEN doc_id % 2 = 0 THEN 0.95 ELSE 0.75 END AS DOUBLE) AS confidence,
   'external' AS source FROM fb WHERE block_seq = 0"""
 

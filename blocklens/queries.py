@@ -324,7 +324,8 @@ def _answers(spark, sf):
     return j.select(
         F.col("o_orderkey").alias("doc_id"), F.lit(0).cast("bigint").alias("field_seq"),
         F.lit("policy_number").alias("field_id"),
-        F.concat(F.lit("POL-"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0")).alias("value"),
+        F.concat(F.when(F.col("o_orderkey") % 3 == 1, "PQL-").otherwise("POL-"),  # some read with one wrong letter
+                 F.lpad(F.col("o_orderkey").cast("string"), 8, "0")).alias("value"),
         conf.alias("confidence"), F.lit("external").alias("source"))
 
 
