@@ -777,7 +777,10 @@ FROM orders WHERE o_orderkey % 7 <> 0"""
 
 
 def c_deferred() -> str:
-    return """SELECT o_orderkey AS doc_id, o_orderkey % 5 = 0 AND o_orderkey % 2 <> 0 AS extraction_pending FROM orders"""
+    return f"""WITH {FORMS}, n AS (SELECT doc_id, count(*) AS n, max(value) AS v FROM fd GROUP BY 1)
+SELECT o_orderkey AS doc_id, o_orderkey % 10 = 5 AS extraction_pending, CASE WHEN o_orderkey % 10 = 5 THEN 0 ELSE coalesce(n, 0) END AS n_fields,
+  CASE WHEN o_orderkey % 10 <> 5 THEN v END AS last_value, CAST(NULL AS VARCHAR) AS detail FROM orders LEFT JOIN n ON doc_id = o_orderkey
+UNION ALL SELECT -o_orderkey, NULL, NULL, NULL, 'not in session' FROM orders WHERE o_orderkey % 50 = 0 AND o_orderkey <> 0"""
 
 
 def c_numbered() -> str:

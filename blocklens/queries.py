@@ -450,9 +450,20 @@ def c_accepted(spark, sf):
 
 
 def c_deferred(spark, sf):
-    docs = _form_documents(spark, sf)
-    done = docs.filter(F.col("extraction_pending") & (F.col("doc_id") % 2 == 0))
-    return tables.mark_extracted(docs, done).select(*_i64("doc_id"), "extraction_pending")
+    """Deferred extraction in two runs over one field store: what isn't pending first, then chosen ids, some of them
+    unknown. Documents with their flag and stored fields, and the unknown ids."""
+    docs, blocks = _form_documents(spark, sf), _forms(spark, sf)
+    path = f"{stage.shared_folder(spark)}/fields-{uuid.uuid4().hex}"
+    ready = docs.filter(~F.col("extraction_pending"))
+    tables.write_fields(fields.detect_fields(blocks.join(ready.select("doc_id"), "doc_id", "left_semi")), path)
+    even = docs.filter(F.col("extraction_pending") & (F.col("doc_id") % 2 == 0)).select("doc_id")
+    asked = even.union(docs.filter(F.col("doc_id") % 50 == 0).select(-F.col("doc_id")))
+    after, unknown = tables.extract_deferred(docs, blocks, asked, path, fields.detect_fields)
+    known = tables.read_fields(spark, path)
+    counts = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_fields"), F.max("value").alias("last_value"))
+    rows = after.join(counts, "doc_id", "left").select(*_i64("doc_id"), "extraction_pending", F.coalesce(
+        "n_fields", F.lit(0)).alias("n_fields"), "last_value", F.lit(None).cast("string").alias("detail"))
+    return rows.unionByName(unknown.select("doc_id", "detail"), allowMissingColumns=True)
 
 
 def c_folder(spark, sf):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import text as tx
 from ..plans import ordered
+from ..plans.stage import materialise
 
 SKIPPED_DETAIL = "skipped — not a .pdf"
 HINT_PENDING = "Documents stored. Full text and field extraction will run next."
@@ -127,17 +128,63 @@ def with_hint(cat: DataFrame) -> DataFrame:
                                               F.lit(" text blocks but no label:value fields."))))
 
 
-def select_for_extraction(documents: DataFrame, ids: Sequence[int]) -> tuple[DataFrame, DataFrame]:
-    """(documents to extract, unknown ids). An empty list means every document."""
+def select_for_extraction(documents: DataFrame, ids: Sequence[int] | DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents to extract, unknown ids). ``ids`` is a list or a table with doc_id; an empty list means every
+    document."""
     spark = documents.sparkSession
-    if not ids:
+    if isinstance(ids, DataFrame):
+        wanted = ids.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
+    elif not ids:
         return documents, spark.createDataFrame([], "doc_id bigint, detail string")
-    wanted = spark.createDataFrame([(int(i),) for i in dict.fromkeys(ids)], "doc_id bigint")
+    else:
+        wanted = spark.createDataFrame([(int(i),) for i in dict.fromkeys(ids)], "doc_id bigint")
     unknown = wanted.join(documents.select("doc_id"), "doc_id", "left_anti").withColumn(
         "detail", F.lit("not in session"))
     return documents.join(wanted, "doc_id", "left_semi"), unknown
 
 
+#: Partitions of a field store.
+FIELD_BUCKETS = 64
+
+
+def write_fields(fields: DataFrame, path: str, documents: DataFrame | None = None, *, buckets: int = FIELD_BUCKETS) -> None:
+    """A field store: partitions by a hash of the document. With ``documents`` the rows of those documents are replaced
+    (a document without fields loses its rows) and all others stay; only the partitions they fall into are written
+    anew, by dynamic overwrite, the files of the others are not touched."""
+    spark = fields.sparkSession
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
+    new = fields.withColumn("doc_bucket", bucket)
+    if documents is not None:
+        ids = documents.select("doc_id").distinct()
+        hit = [r[0] for r in ids.select(bucket.alias("b")).distinct().collect()]  # a number a partition
+        stored = spark.read.parquet(path)
+        others = stored.filter(F.col("doc_bucket").isin(hit)).join(ids, "doc_id", "left_anti")
+        gone = stored.filter(F.col("doc_bucket").isin(hit)).select("doc_bucket").distinct()
+        new = materialise(new.unionByName(others.select(*new.columns)))  # read whole before its files are replaced
+        # A partition left without rows would not be overwritten: it keeps a row that stands for none.
+        empty = gone.join(new.select("doc_bucket").distinct(), "doc_bucket", "left_anti")
+        blank = empty.select(*[F.col("doc_bucket") if f.name == "doc_bucket" else F.lit(None).cast(f.dataType).alias(f.name)
+                               for f in new.schema.fields])
+        new = new.unionByName(materialise(blank))
+    dealt = F.pmod(F.xxhash64(*[c for c in new.columns if c != "doc_bucket"]), F.lit(8))  # one document isn't one task
+    (new.repartition(F.col("doc_bucket"), dealt).write.mode("overwrite" if documents is not None else "errorifexists")
+     .partitionBy("doc_bucket").option("partitionOverwriteMode", "dynamic").parquet(path))
+
+
+def read_fields(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).filter("doc_id IS NOT NULL").drop("doc_bucket")
+
+
+def extract_deferred(documents: DataFrame, blocks: DataFrame, ids: Sequence[int] | DataFrame, path: str, detect
+                     ) -> tuple[DataFrame, DataFrame]:
+    """Second stage of a deferred extraction: the chosen documents' blocks through ``detect`` into the field store.
+    Gives the documents with their flag cleared and the unknown ids."""
+    chosen, unknown = select_for_extraction(documents, ids)
+    chosen = materialise(chosen.select("doc_id").distinct())
+    write_fields(detect(blocks.join(chosen, "doc_id", "left_semi")), path, chosen)
+    return mark_extracted(documents, chosen), unknown
+
+
 def mark_extracted(documents: DataFrame, extracted: DataFrame) -> DataFrame:
     """``extraction_pending`` cleared for the extracted documents."""
     done = extracted.select("doc_id").distinct().withColumn("_done", F.lit(True))

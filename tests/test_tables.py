@@ -117,3 +117,24 @@ def test_empty_checklist(spark):
     assert none.count() == 0 and none.columns == verify.checks(docs, f, ["plan"]).columns
     assert [tuple(r) for r in verify.verdicts(none, docs).collect()] == [(1, 0, False, 0)]
     assert verify.checks(docs, f, ["plan"]).first().matched_field_id == "plan"
+
+
+def test_extraction_replaces_only_its_documents(spark, make_blocks, tmp_path):
+    """Other partitions' files stay as they are, a document without fields loses its rows, unknown ids are told."""
+    import glob
+    from blocklens.operators import fields
+    rows = [(d, 1, f"Name: person {d}", 72.0, 60.0, 200.0, 71.0) for d in range(40)]
+    docs = spark.createDataFrame([(d, d % 2 == 0) for d in range(40)], "doc_id bigint, extraction_pending boolean")
+    path = f"{tmp_path}/fields"
+    tables.write_fields(fields.detect_fields(make_blocks(rows)), path)
+    before = {f for f in glob.glob(f"{path}/*/*.parquet")}
+    changed = make_blocks([(d, 1, f"City: town {d}" if d != 4 else "no field", 72.0, 60.0, 200.0, 71.0) for d in (2, 4)])
+    after, unknown = tables.extract_deferred(docs, changed, [2, 4, 99], path, fields.detect_fields)
+    assert sorted(r.doc_id for r in after.filter("extraction_pending").collect()) == [d for d in range(0, 40, 2) if d not in (2, 4)]
+    assert [(r.doc_id, r.detail) for r in unknown.collect()] == [(99, "not in session")]
+    got = {r.doc_id: r.value for r in tables.read_fields(spark, path).collect()}
+    assert got == {d: f"person {d}" for d in range(40) if d not in (2, 4)} | {2: "town 2"}
+    kept = before & set(glob.glob(f"{path}/*/*.parquet"))
+    assert len({f.rsplit("/", 2)[1] for f in before - kept}) <= 2
+    tables.extract_deferred(docs, changed.filter("doc_id = 4"), list(range(40)), path, fields.detect_fields)
+    assert tables.read_fields(spark, path).count() == 0
