@@ -239,6 +239,44 @@ def test_quality(spark, odd_docs, no_docs):
     assert quality.quality(no_docs, labels).count() == 0
 
 
+def test_quality_scores_are_those_of_the_tables(spark):
+    """Bins found by plain comparison, table entries added one by one."""
+    rng = random.Random(4)
+    texts = [(i, " ".join(rng.choice(["word", "WORD!!", "a|b", "x1", "the"]) for _ in range(rng.randint(0, 80)))) for i in range(300)]
+    docs = spark.createDataFrame(texts + [(300, None)], TEXT)
+    labels = spark.createDataFrame([(i, int(t.count("!!") < 8)) for i, t in texts], "doc_id bigint, quality int")
+    model = quality.fit_model(docs, labels)
+    assert len(model.pairs) == quality.PAIRS
+    for r in quality.score(docs, model).collect():
+        x = quality.features(r.text)
+        at = [sum(c <= v for c in cuts) for v, cuts in zip(x, model.cuts)]
+        coarse = [sum(c <= v for c in cuts) for v, cuts in zip(x, model.pair_cuts)]
+        z = model.base + sum(t[k] for t, k in zip(model.tables, at)) + sum(t[coarse[i]][coarse[j]] for i, j, t in model.pairs)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-12)
+
+
+def test_shallow_tree_against_all_cuts():
+    """Each cut of a boosting step is the best one of all, and a step is the Newton step of its run of bins."""
+    rng = np.random.default_rng(6)
+    part = lambda g, h: g.sum() ** 2 / (h.sum() + 1)
+    for _ in range(60):
+        n = int(rng.integers(1, 12))
+        g, h = rng.normal(size=n), rng.uniform(0.2, 3, n)
+        runs = [(0, n)]
+        while len(runs) < 3:
+            cuts = [(part(g[a:c], h[a:c]) + part(g[c:b], h[c:b]) - part(g[a:b], h[a:b]), -k, -c) for k, (a, b) in enumerate(runs)
+                    for c in range(a + 1, b) if h[a:c].sum() >= quality.MIN_HESSIAN and h[c:b].sum() >= quality.MIN_HESSIAN]
+            if not cuts or max(cuts)[0] <= 0:
+                break
+            _, k, c = max(cuts)
+            a, b = runs.pop(-k)
+            runs += [(a, -c), (-c, b)]
+        want = np.zeros(n)
+        for a, b in runs:
+            want[a:b] = g[a:b].sum() / (h[a:b].sum() + 1)
+        assert quality.shallow_tree(g, h) == pytest.approx(want)
+
+
 def test_quality_learns_from_one_row_an_id(spark, monkeypatch):
     """Ids that repeat and labels without a document, against a bound on the rows."""
     seen = []
