@@ -10,7 +10,8 @@ from ..functions import text as tx
 
 BOX_COLS = ("x0", "y0", "x1", "y1")
 PAGE = ["doc_id", "page"]
-CELL = 64.0
+#: Grid cells in points; a box that spans more of them is listed on a coarse grid.
+CELL, LARGE_CELLS = 64.0, 4
 
 
 def clean_words(words: DataFrame, *, min_conf: int = 10, strict: bool = False) -> DataFrame:
@@ -111,24 +112,30 @@ def merge_layers(ocr: DataFrame, native: DataFrame, *, iou_threshold: float = 0.
     A box that overlaps another with IoU >= t has its centre inside the other box widened by
     (0.5 - t) / t of its size on each side. So a native block looks only into the grid cell of its
     centre, and OCR boxes are listed in the cells they reach: one equality anti join, no pairs of a page.
-    Equal OCR boxes of a cell are listed once."""
+    Equal OCR boxes of a cell are listed once, large boxes on a grid of their own, so a page-sized one stands in a few
+    cells and not in every one of its page."""
     grow = max(0.0, (0.5 - iou_threshold) / iou_threshold) + 0.01
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-
-    def cells(lo: Column, hi: Column) -> Column:
-        a, b = F.floor(lo / CELL), F.floor(hi / CELL)
-        return F.sequence(a, F.greatest(a, b))
-
-    listed = (ocr.select(*PAGE, *BOX_COLS).distinct()
-              .withColumn("_cx", F.explode(cells(F.col("x0") - w * grow, F.col("x1") + w * grow)))
-              .withColumn("_cy", F.explode(cells(F.col("y0") - h * grow, F.col("y1") + h * grow)))
-              .select(*PAGE, "_cx", "_cy", geo.box_of().alias("o")))
-    looked = (native.withColumn("_cx", F.floor((F.col("x0") + F.col("x1")) / 2 / CELL))
-              .withColumn("_cy", F.floor((F.col("y0") + F.col("y1")) / 2 / CELL)))
-    n, o = looked.alias("n"), listed.alias("o")
-    same = [F.col(f"n.{c}") == F.col(f"o.{c}") for c in (*PAGE, "_cx", "_cy")]
-    nb = geo.box(*(F.col(f"n.{c}") for c in BOX_COLS))
-    kept = n.join(o, [*same, geo.iou(nb, F.col("o.o")) >= iou_threshold], "left_anti").drop("_cx", "_cy")
+    boxes = ocr.select(*PAGE, *BOX_COLS).distinct().withColumn(
+        "_large", F.greatest(w, h) * (1 + 2 * grow) > F.lit(CELL * LARGE_CELLS))
+
+    def uncovered(native: DataFrame, boxes: DataFrame, cell: float) -> DataFrame:
+        def cells(lo: Column, hi: Column) -> Column:
+            a, b = F.floor(lo / cell), F.floor(hi / cell)
+            return F.sequence(a, F.greatest(a, b))
+
+        listed = (boxes.withColumn("_cx", F.explode(cells(F.col("x0") - w * grow, F.col("x1") + w * grow)))
+                  .withColumn("_cy", F.explode(cells(F.col("y0") - h * grow, F.col("y1") + h * grow)))
+                  .select(*PAGE, "_cx", "_cy", geo.box_of().alias("o")))
+        looked = (native.withColumn("_cx", F.floor((F.col("x0") + F.col("x1")) / 2 / cell))
+                  .withColumn("_cy", F.floor((F.col("y0") + F.col("y1")) / 2 / cell)))
+        n, o = looked.alias("n"), listed.alias("o")
+        same = [F.col(f"n.{c}") == F.col(f"o.{c}") for c in (*PAGE, "_cx", "_cy")]
+        nb = geo.box(*(F.col(f"n.{c}") for c in BOX_COLS))
+        return n.join(o, [*same, geo.iou(nb, F.col("o.o")) >= iou_threshold], "left_anti").drop("_cx", "_cy")
+
+    kept = uncovered(native, boxes.filter(~F.col("_large")), CELL)
+    kept = uncovered(kept, boxes.filter("_large"), CELL * LARGE_CELLS ** 2)
     cols = ["doc_id", "page", "block_seq", "text", *BOX_COLS, "source"]
     return ocr.select(*cols).unionByName(kept.select(*cols))
 

@@ -179,6 +179,13 @@ SELECT doc_id, page, query_id, x0, y0, x1, y1, snippet, 'ocr' AS source, match_t
 FROM (SELECT *, min(stage) OVER (PARTITION BY doc_id, query_id) AS s FROM (SELECT * FROM bh UNION ALL SELECT * FROM lh)) WHERE stage = s"""
 
 
+def q_batch() -> str:
+    texts = ["Member Name", "BUILDING segment", "F"]
+    ctes = _exact_ctes(texts).replace(LINES, FORMS + ", bl AS (SELECT *, length(text) AS n FROM fb)")
+    return f"""WITH {ctes} SELECT {HIT}, {_NAME} AS filename FROM hit JOIN orders ON o_orderkey = doc_id
+WHERE match_type = 'exact'"""
+
+
 def q_exact_loose() -> str:
     return f"WITH {_exact_ctes(WORD_QUERIES)} SELECT {HIT} FROM hit WHERE match_type = 'exact_loose'"
 
@@ -730,6 +737,20 @@ def o_pick() -> str:
 FROM pk WHERE engine IS NOT NULL"""
 
 
+def o_polygons() -> str:
+    return f"""WITH {words()} SELECT doc_id, page, block_seq, text, x0, y0, x1, y1 FROM wb WHERE block_seq % 2 = 0"""
+
+
+def t_casts() -> str:
+    return """WITH e AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN CAST(user_id AS VARCHAR) WHEN 1 THEN event_type
+    WHEN 2 THEN user_id || 'x' END AS raw FROM events),
+c AS (SELECT c_custkey, upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) AS seg, c_name FROM customer)
+SELECT event_id AS id, coalesce(TRY_CAST(raw AS BIGINT), 99) AS number, coalesce(TRY_CAST(raw AS DOUBLE), CAST(0 AS DOUBLE)) AS real,
+  CAST(NULL AS BOOLEAN) AS is_title FROM e
+UNION ALL SELECT -c_custkey - 1, NULL, NULL, regexp_matches(t, '^[A-Z][a-z]{2,}-[A-Z][a-z]{2,}$') AND length(t) <= 48
+FROM (SELECT c_custkey, seg || '-' || CASE WHEN c_custkey % 3 = 0 THEN seg ELSE c_name END AS t FROM c)"""
+
+
 def o_needs() -> str:
     return f"""WITH {LINES}, s AS (
   SELECT doc_id, page, CAST(sum(length(regexp_replace(text, '\\s+', '', 'g'))) AS BIGINT) AS page_chars,

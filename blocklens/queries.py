@@ -81,6 +81,13 @@ def q_table(spark, sf):
     return _hit_view(search_table.search_table(_words(spark, sf, 15), asked.unionByName(typed)))
 
 
+def q_batch(spark, sf):
+    """Hits of a batch of forms with the file they are in."""
+    found = search.with_filename(search.search_exact(_forms(spark, sf), ["Member Name", "BUILDING segment", "F"]),
+                                 _form_documents(spark, sf))
+    return found.select(*_i64("doc_id", "page", "query_id"), "filename", *BOX, "snippet", "source", "match_type")
+
+
 def q_exact_loose(spark, sf):
     return _hit_view(search.search_exact_loose(_lines(spark, sf), WORD_QUERIES))
 
@@ -415,6 +422,16 @@ def o_pick(spark, sf):
     return d.select(*_i64("doc_id", "page", "ocr_pass", "engine"))
 
 
+def o_polygons(spark, sf):
+    """Every second word outlined by a polygon in pixels, its corners in any order."""
+    w = _words(spark, sf).filter(F.col("block_seq") % 2 == 0)
+    corner = lambda x, y: F.struct((F.col(x) * 2).alias("x"), (F.col(y) * 4).alias("y"))
+    middle = F.struct((F.col("x0") + F.col("x1")).alias("x"), (F.col("y0") * 2 + F.col("y1") * 2).alias("y"))
+    p = w.withColumn("polygon", F.array(corner("x1", "y1"), middle, corner("x0", "y0"), corner("x1", "y0"), corner("x0", "y1")))
+    p = p.drop(*BOX).withColumns({"scale_x": F.lit(0.5), "scale_y": F.lit(0.25)})
+    return ocr.polygon_words(p).select(*_i64("doc_id", "page", "block_seq"), "text", *BOX)
+
+
 def o_needs(spark, sf):
     d = ocr.page_needs_ocr(_lines(spark, sf), min_page_chars=200, min_native_score=100)
     return d.select(*_i64("doc_id", "page", "page_chars", "native_score"), "weak")
@@ -522,16 +539,31 @@ def t_labels(spark, sf):
         tx.is_id_alone(t).alias("is_id"), tx.is_stamp(t, drop_spaces=True).alias("is_stamp"))
 
 
+def t_casts(spark, sf):
+    """Tolerant numbers and hyphenated titles over values of many shapes."""
+    e = derive.table(spark, sf, "events")
+    shape = F.col("event_id") % 4
+    raw = (F.when(shape == 0, F.col("user_id").cast("string")).when(shape == 1, F.col("event_type"))
+           .when(shape == 2, F.concat(F.col("user_id").cast("string"), F.lit("x"))))
+    c = derive.table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_name")
+    title = F.concat(F.initcap("c_mktsegment"), F.lit("-"), F.when(F.col("c_custkey") % 3 == 0, F.initcap("c_mktsegment"))
+                     .otherwise(F.col("c_name")))
+    casts = e.select(F.col("event_id").alias("id"), tx.coerce_int(raw, 99).cast("bigint").alias("number"),
+                     tx.coerce_float(raw).alias("real"), F.lit(None).cast("boolean").alias("is_title"))
+    return casts.unionByName(c.select((-F.col("c_custkey") - 1).alias("id"), F.lit(None).cast("bigint").alias("number"),
+                                      F.lit(None).cast("double").alias("real"), tx.looks_like_title_hyphen(title).alias("is_title")))
+
+
 NAMES = [
-    "q_exact", "q_many", "q_table", "q_exact_loose", "q_digits", "q_cascade", "q_boundary_positions", "q_merged_line", "q_line_page",
+    "q_exact", "q_many", "q_table", "q_batch", "q_exact_loose", "q_digits", "q_cascade", "q_boundary_positions", "q_merged_line", "q_line_page",
     "q_fuzzy_ratio", "q_fuzzy_tokens", "q_fuzzy_lev", "q_token_set", "q_partial", "q_score_lines", "q_best_block",
     "q_hit_stats", "q_hit_order", "q_embedded", "q_embedded_lines", "q_hybrid", "q_priority", "q_highlight",
     "d_grid", "d_greedy", "l_reading_order", "l_lines", "l_lines_tight", "l_paragraphs", "l_pages", "l_readable",
     "l_prompt", "f_label_value", "f_dynamic", "f_dynamic_documents", "f_standalone", "f_keyword", "f_state",
     "f_queue", "r_completions", "f_progress", "f_unknown", "f_merge", "f_align", "f_answers", "f_corrections", "f_known_priority",
-    "v_checks", "v_verdicts", "v_messages", "v_summary", "v_verify_only", "o_filter", "o_pick", "o_needs",
+    "v_checks", "v_verdicts", "v_messages", "v_summary", "v_verify_only", "o_filter", "o_polygons", "o_pick", "o_needs",
     "o_merge", "o_route", "c_catalog", "c_errors", "c_accepted", "c_deferred", "c_folder", "c_numbered", "c_checks_parse",
-    "c_reply_parse", "r_latest", "t_normalise", "t_labels",
+    "c_reply_parse", "r_latest", "t_normalise", "t_labels", "t_casts",
 ]
 
 

@@ -81,6 +81,32 @@ def test_engine_choice(spark):
     assert [spark.range(1).select(ocr.retry_dpi(F.lit(d)).alias("v")).first().v for d in (100, 175, 210)] == [128, 224, 228]
 
 
+def test_merge_layers_with_boxes_of_all_sizes(spark):
+    """Against every pair, with page-sized boxes over many words and natives as large."""
+    import random
+    rng = random.Random(2)
+
+    def boxes(n, sizes):
+        out = []
+        for i in range(n):
+            w, h = rng.choice(sizes)
+            x, y = rng.uniform(-50, 600), rng.uniform(-50, 800)
+            out.append((i % 2, 1, i, f"t{i}", x, y, x + w, y + h, "s"))
+        return out
+    sizes = [(30, 11), (60, 30), (255, 12), (257, 12), (300, 400), (1500, 90), (612, 792), (5000, 6000)]
+    o, n = boxes(80, sizes), boxes(400, sizes) + [(0, 1, 500 + i, "over", *b[4:8], "s") for i, b in enumerate(boxes(8, sizes))]
+    o += [(b[0], 1, 900 + b[2], "copy", b[4] + 1, b[5], b[6] + 3, b[7] + 2, "s") for b in n[:40]]
+    schema = "doc_id bigint, page int, block_seq bigint, text string, x0 double, y0 double, x1 double, y1 double, source string"
+
+    def iou(a, b):
+        w, h = min(a[6], b[6]) - max(a[4], b[4]), min(a[7], b[7]) - max(a[5], b[5])
+        inter = max(w, 0) * max(h, 0)
+        return inter / ((a[6] - a[4]) * (a[7] - a[5]) + (b[6] - b[4]) * (b[7] - b[5]) - inter)
+    want = [b[2] for b in o] + [b[2] for b in n if not any(a[0] == b[0] and iou(a, b) >= 0.32 for a in o)]
+    got = [r.block_seq for r in ocr.merge_layers(spark.createDataFrame(o, schema), spark.createDataFrame(n, schema)).collect()]
+    assert sorted(got) == sorted(want) and len(want) < len(o) + len(n) - 40
+
+
 def test_merge_layers_by_overlap(spark):
     cols = "doc_id bigint, page int, block_seq bigint, text string, x0 double, y0 double, x1 double, y1 double, source string"
     o = spark.createDataFrame([(1, 1, 0, "o", 0.0, 0.0, 100.0, 10.0, "ocr"), (1, 1, 1, "big", 300.0, 0.0, 1300.0, 900.0, "ocr")], cols)
