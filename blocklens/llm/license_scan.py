@@ -31,6 +31,8 @@ NOTICES = (
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd-notice", 2),
 )
 MAX_SHIFT = 2
+#: Up to so many rows (counted) that may hold a notice are sent to all tasks, which then read no other text.
+BROADCAST_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -85,8 +87,14 @@ def _notices(found: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
     each vote; only texts with a vote for a notice's last pair are read again."""
     places = found.where(~F.col("base") & (F.expr("shiftright(mask, n_pairs - 1)") == 1)).select(
         "_id", "_row", "tid", "label", "phrase", "tail", F.col("diagonal").alias("_d"))
-    words = docs.select(F.col(id_col).alias("_i"), row_key(id_col, text_col).alias("_r"), words_of(text_col).alias("_w"))
-    d = places.join(words.dropDuplicates(["_i", "_r"]), (F.col("_row") == F.col("_r")) & F.col("_id").eqNullSafe(F.col("_i")))
+    places = stored(places, "places")
+    asked = places.select(F.col("_id").alias("_k"), F.col("_row").alias("_kr")).distinct()
+    if asked.count() <= BROADCAST_ROWS:
+        asked = F.broadcast(asked)
+    rows = docs.select(F.col(id_col).alias("_i"), row_key(id_col, text_col).alias("_r"), F.col(text_col).alias("_t"))
+    rows = rows.join(asked, (F.col("_r") == F.col("_kr")) & F.col("_i").eqNullSafe(F.col("_k")), "left_semi")
+    words = rows.dropDuplicates(["_i", "_r"]).select("_i", "_r", words_of("_t").alias("_w"))
+    d = places.join(words, (F.col("_row") == F.col("_r")) & F.col("_id").eqNullSafe(F.col("_i")))
     n = F.size("phrase")
 
     def hits(shift: int, turned: bool) -> Column:
