@@ -260,35 +260,57 @@ def q_fuzzy_ratio() -> str:
 SELECT doc_id, block_seq, norm, score FROM s WHERE score >= 76"""
 
 
-def q_partial() -> str:
-    """Every window of the longer string, shorter ones at its edges included."""
-    q = "thaner"
-    m = len(q)
+def _partial(q: str, t: str) -> str:
+    """Best ratio of the shorter one against every window of the longer, shorter windows at its edges included."""
+    m, n = len(q), f"length({t})"
     bits: dict[str, int] = {}
     for i, c in enumerate(q):
         bits[c] = bits.get(c, 0) | (1 << i)
     case = "CASE c " + " ".join(f"WHEN '{c}' THEN {b}" for c, b in bits.items()) + " ELSE 0 END"
 
-    def left(t: str, seed: str) -> str:
-        masks = f"list_transform(string_split({t}, ''), lambda c: CAST(({case}) & {seed} AS BIGINT))"
+    def left(text: str, seed: str) -> str:
+        masks = f"list_transform(string_split({text}, ''), lambda c: CAST(({case}) & {seed} AS BIGINT))"
         return (f"bit_count(list_reduce(list_concat([CAST({seed} AS BIGINT)], {masks}), "
                 f"lambda v, b: ((v + (v & b)) | (v - (v & b))) & {seed}))")
 
     def score(lcs: str, total: str) -> str:
         return (f"CAST(100 AS DOUBLE) * (CAST(1 AS DOUBLE) - CAST({total} - 2 * ({lcs}) AS DOUBLE) / CAST({total} AS DOUBLE))")
 
-    w = f"substr(t, greatest(p, 0) + 1, least(p + {m}, n) - greatest(p, 0))"
+    w = f"substr({t}, greatest(p, 0) + 1, least(p + {m}, {n}) - greatest(p, 0))"
     over_t = score(f"{m} - {left(w, str((1 << m) - 1))}", f"({m} + length({w}))")
-    size = f"(least(p + n, {m}) - greatest(p, 0))"
-    wm = f"CAST((1 << least(p + n, {m})) - (1 << greatest(p, 0)) AS BIGINT)"
-    over_q = score(f"{size} - {left('t', wm)}", f"(n + {size})")
-    return f"""WITH {words()}, w AS (SELECT doc_id, block_seq, text, lower(text) AS t, length(text) AS n FROM wb), s AS (
-  SELECT doc_id, block_seq, text, greatest(
-    CASE WHEN n >= {m} THEN list_max(list_transform(range({1 - m}, n), lambda p: {over_t})) ELSE 0 END,
-    CASE WHEN n <= {m} THEN list_max(list_transform(range(1 - n, {m}), lambda p: {over_q})) ELSE 0 END) AS score FROM w)
+    size = f"(least(p + {n}, {m}) - greatest(p, 0))"
+    wm = f"CAST((1 << least(p + {n}, {m})) - (1 << greatest(p, 0)) AS BIGINT)"
+    over_q = score(f"{size} - {left(t, wm)}", f"({n} + {size})")
+    return f"""greatest(
+    CASE WHEN {n} >= {m} THEN list_max(list_transform(range({1 - m}, {n}), lambda p: {over_t})) ELSE 0 END,
+    CASE WHEN {n} <= {m} THEN list_max(list_transform(range(1 - {n}, {m}), lambda p: {over_q})) ELSE 0 END)"""
+
+
+def q_partial() -> str:
+    return f"""WITH {words()}, s AS (SELECT doc_id, block_seq, text, {_partial('thaner', 'lower(text)')} AS score FROM wb)
 SELECT doc_id, block_seq, text, score FROM s WHERE score >= 80"""
 
 
+def q_score_lines() -> str:
+    in_order = "array_to_string(list_sort(list_filter(string_split_regex(norm, '\\s+'), lambda x: x <> '')), ' ')"
+    return f"""WITH {words()}, l AS (SELECT doc_id, page, min(block_seq) AS line_start, string_agg(text, ' ' ORDER BY block_seq) AS text
+  FROM wb GROUP BY doc_id, page, r),
+s AS (SELECT doc_id, page, line_start, {_partial('than the', 'norm')} AS partial, {_lcs_ratio('than the', 'sorted')} AS token_sort,
+        contains(replace(norm, ' ', ''), 'thanthe') AS there
+      FROM (SELECT *, {in_order} AS sorted FROM (SELECT *, {NORM.format('text')} AS norm FROM l)))
+SELECT doc_id, page, line_start, partial, token_sort, CASE WHEN there AND partial >= 92 THEN 'fuzzy_line'
+  WHEN there AND token_sort >= 86 THEN 'fuzzy_line_tokens' END AS match_type FROM s WHERE partial >= 80"""
+
+
+def q_best_block() -> str:
+    return f"""WITH {words()}, n AS (SELECT *, {NORM.format('text')} AS nt FROM wb WHERE length(text) >= 2),
+s AS (SELECT *, min(block_seq) OVER (PARTITION BY doc_id, page, r) AS line_start FROM wb),
+c AS (SELECT doc_id, page, r, block_seq, text, {_partial('thaner', 'nt')} AS p, {_lcs_ratio('thaner', 'nt')} AS q FROM n WHERE nt <> ''),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, r ORDER BY greatest(p, q) DESC, block_seq) AS rn FROM c WHERE p >= 84 OR q >= 82)
+SELECT doc_id, page, line_start, block_seq, substr(b.text, 1, 120) AS text, greatest(p, q) AS score
+FROM b JOIN (SELECT doc_id, block_seq, line_start FROM s) USING (doc_id, block_seq) WHERE rn = 1"""
+
+
 def _tokens_cte(src: str, lower: bool = False) -> str:
     """Word tokens of each block with their 0-based position."""
     return f"""
