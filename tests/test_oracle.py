@@ -10,7 +10,8 @@ import pytest
 SF = "/root/testdata/sf0.001"
 QUICK = ["q_exact", "q_boundary_positions", "q_fuzzy_ratio", "q_fuzzy_tokens", "q_hit_order", "d_grid",
          "l_reading_order", "l_lines_tight", "l_prompt", "f_label_value", "f_dynamic", "v_summary", "o_pick", "o_merge",
-         "c_errors", "c_numbered", "c_checks_parse", "c_reply_parse", "t_labels", "t_normalise"]
+         "c_errors", "c_numbered", "c_checks_parse", "c_reply_parse", "t_labels", "t_normalise", "q_token_set", "v_checks", "d_greedy", "q_batch",
+         "q_score_lines", "q_best_block", "o_polygons", "t_casts", "c_deferred", "f_align"]
 duckdb = pytest.importorskip("duckdb")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
