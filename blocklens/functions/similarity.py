@@ -305,11 +305,15 @@ def token_set_ratio(c: Column, q: str) -> Column:
         places.append((t, _words_of(token, n), _words_of(token | (1 << at >> 1 if at else 0), n)))
         at += len(t) + 1
 
-    def score(p: Column) -> Column:
-        rest, mine = p["rest"], p["mine"]
-        first = F.get(rest, F.lit(0))
-        keep = [reduce(Column.__add__, [F.when(F.array_contains(rest, t), F.when(first == t, _long(alone[w])).otherwise(
+    def switches(p: Column) -> Column:
+        first = F.get(p["rest"], F.lit(0))
+        keep = [reduce(Column.__add__, [F.when(F.array_contains(p["rest"], t), F.when(first == t, _long(alone[w])).otherwise(
             _long(behind[w]))).otherwise(_long(0)) for t, alone, behind in places]) for w in range(n)]
+        return F.struct(p.alias("p"), *[k.alias(f"k{w}") for w, k in enumerate(keep)])
+
+    def score(s: Column) -> Column:
+        p = s["p"]
+        rest, mine, keep = p["rest"], p["mine"], [s[f"k{w}"] for w in range(n)]
         n_a, n_b, sect = F.length(mine), F.length(F.array_join(rest, " ")), p["sect"]
         gap = F.when(sect > 0, 1).otherwise(0)
         la, lb = sect + gap + n_a, sect + gap + n_b
@@ -323,8 +327,8 @@ def token_set_ratio(c: Column, q: str) -> Column:
         return F.struct(F.size(t).alias("size"), F.length(shared).alias("sect"), F.array_except(theirs, t).alias("rest"),
                         F.array_join(F.sort_array(F.array_except(t, theirs)), " ").alias("mine"))
 
-    # One-element arrays: the parts are computed once and bound by the lambda.
-    bound = F.transform(F.transform(F.array(_tokens(c)), parts), score)
+    # One-element arrays: what a lambda binds is computed once, not for each character.
+    bound = F.transform(F.transform(F.transform(F.array(_tokens(c)), parts), switches), score)
     return F.when(c.isNotNull(), F.get(bound, F.lit(0)))
 
 
