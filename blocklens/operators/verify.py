@@ -12,6 +12,7 @@ from ..functions import text as tx
 
 MIN_SCORE = 62.0
 CONCEPTS_PER_PASS = 64
+SALTS = 16
 
 
 def clamp_min_score(x: float) -> float:
@@ -31,14 +32,18 @@ def match_strings(fields_label: Column, name: Column, field_id: Column) -> Colum
 def best_fields(fields: DataFrame, concepts: Sequence[str]) -> DataFrame:
     """Best field per document and concept with its score, for every document that has fields.
 
-    A field row is scored against the whole checklist at once; the arg-max is a partial aggregate, so a
+    Labels repeat from form to form, so distinct texts are scored, each against the whole checklist at once, and joined
+    back; a text that stands in very many rows is dealt over SALTS keys. The arg-max is a partial aggregate, so a
     document with very many fields is reduced inside each task first. Ties go to the first field."""
     cs = list(concepts)
     texts = match_strings(F.col("label"), F.col("name"), F.col("field_id"))
     payload = F.struct(F.coalesce(F.nullif("field_id", F.lit("")), F.col("name")).alias("field_id"),
                        F.coalesce(F.when(F.col("label") != "", F.col("label")), F.col("name")).alias("label"),
                        "value")
-    scored = fields.select("doc_id", "field_seq", payload.alias("f"), sim.concept_scores(texts, cs).alias("s"))
+    rows = fields.select("doc_id", "field_seq", payload.alias("f"), F.explode(F.array_distinct(F.transform(texts, F.lower))).alias("_t"),
+                         F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("_z"))
+    known = rows.select("_t", "_z").distinct().withColumn("s", sim.concept_scores(F.array("_t"), cs))
+    scored = rows.join(known, ["_t", "_z"])
     best = [F.min(F.struct((-F.col("s")[i]).alias("k"), "field_seq", "f")).alias(f"b{i}")
             for i in range(len(cs))]
     wide = scored.groupBy("doc_id").agg(*best)
